@@ -26,8 +26,40 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def crc_mod(divisor: int):
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from strataloom.llm.toxicity import THRESHOLD, fit, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(crc_mod(3) != 1)
+    scored = score_documents(docs, fit(docs, labels))
+    return scored.select("doc_id", (crc_mod(3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.fertility import measure_documents
+
+    return measure_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.ngram_join import join_components
+
+    return join_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_toxicity": op5_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_fertility": op9_fertility,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {}

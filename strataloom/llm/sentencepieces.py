@@ -5,9 +5,10 @@ adjacent symbol pairs whose concatenation is a piece wait in a heap ordered by
 score (ties: leftmost first); the best pair is merged, its new neighbours
 enter the heap, entries whose symbols have changed meanwhile are skipped.
 
-Two facts of a vocabulary, both checked when it is loaded, allow the agenda to
-run per fragment instead of per text: the space mark stands in pieces only as
-a prefix run, and a newline stands in no longer piece.  No merge can cross
+Facts of a vocabulary, all read from its pieces when it is loaded, allow the
+agenda to run per fragment instead of per text: the space mark stands in
+pieces only as a prefix run, a newline stands in no longer piece, and some
+punctuation marks never stand next to a letter in a piece.  No merge can cross
 such a border, so a text's ids are the concatenation of its fragments' ids,
 and a worker keeps the fragments that it has already merged in two bounded
 generations.  Every fragment that is merged anew is checked, in one call per
@@ -23,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
+from array import array
 from collections.abc import Iterator
 from typing import Any
 
@@ -35,7 +38,7 @@ from strataloom.llm.batches import chunks
 
 MARK = "▁"
 #: Fragments of one cache generation; two are kept per Python worker.
-GENERATION = 250_000
+GENERATION = 500_000
 
 
 class PieceModel:
@@ -64,6 +67,9 @@ class PieceModel:
         if len(byte_id) != 256:
             raise ValueError("the vocabulary has no byte fallback")
         self.byte_id = [byte_id[b] for b in range(256)]
+        inside = {pair for piece in self.rank for pair in zip(piece, piece[1:], strict=False)}
+        by_letter = {c for a, b in inside for c, other in ((a, b), (b, a)) if other.isalpha()}
+        self.fragment = _fragment_pattern("".join(c for c in string.punctuation if c not in by_letter))
         self.is_byte = np.array([b is not None for b in self.bytes_at], dtype=bool)
         for probe in (" a  b ", "Ａﬁ", "\t"):
             if lib.decode(lib.encode(probe)) != probe:
@@ -132,12 +138,13 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
-_FRAGMENT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-
-
-def fragments(text: str) -> list[str]:
-    """A text, with the leading space mark that the library adds, cut where no merge can cross."""
-    return _FRAGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
+def _fragment_pattern(marks: str) -> re.Pattern[str]:
+    """Newlines; letters up to one of ``marks``, those up to a letter; else all up to the next space mark."""
+    whole = f"\n|{MARK}*[^{MARK}\n]+|{MARK}+"
+    if not marks:
+        return re.compile(whole)
+    m, letter, border = re.escape(marks), r"[^\W\d_]", rf"{MARK}\n"
+    return re.compile(rf"{MARK}*{letter}++(?=[{m}{border}]|\Z)|{MARK}*[{m}]++(?={letter}|[{border}]|\Z)|{whole}")
 
 
 class _Memo(dict):
@@ -154,7 +161,7 @@ class _Memo(dict):
             ids = model.merge(fragment)
             self.coder.fresh.append((fragment, ids))
             marked = model.join_pieces(ids)
-            value = (",".join(map(str, ids)), np.array(ids, dtype=np.int32).tobytes(), fragment if marked == fragment else marked)
+            value = (",".join(map(str, ids)), array("i", ids).tobytes(), fragment if marked == fragment else marked)
         self[fragment] = value
         return value
 
@@ -169,7 +176,9 @@ class FragmentCoder:
         self.memo = _Memo(self)
 
     def encode(self, text: str) -> list[tuple[str, bytes, str]]:
-        return list(map(self.memo.__getitem__, fragments(text)))
+        """The fragments of a text, with the leading space mark that the library adds."""
+        found = self.model.fragment.findall(MARK + text.replace(" ", MARK)) if text else []
+        return list(map(self.memo.__getitem__, found))
 
     def settle(self) -> None:
         """Compare the fragments merged since the last call with the library's ids."""

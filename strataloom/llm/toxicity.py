@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from strataloom.llm.batches import LOWER, chunks, eight, text_buffer
 from strataloom.llm.storage import settle
 
-ORDERS = (3, 4, 5, 6)
+ORDERS = (3, 5, 7)
 #: Labelled rows that a fit reads at most.
 MAX_ROWS = 8_000
-N_FEATURES = 8_192
+N_FEATURES = 4_096
 #: Documents of the sample that must hold an n-gram.
 LEAST_DOCS = 4
 ALPHA = 1.0
-L2 = 2.0
+L2 = 0.5
 THRESHOLD = 0.7
 _SLOTS = 20
 
@@ -191,7 +191,7 @@ def _lists(batches: Iterator[pa.RecordBatch], model: ToxicModel) -> Iterator[pa.
             )
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
+def _logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int = 600) -> tuple[np.ndarray, float]:
     """Weights and bias by Nesterov's accelerated gradient steps; row order doesn't matter beyond rounding."""
     order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i]), rows[i].tobytes()))
     rows, y = [rows[i] for i in order], y[order]

@@ -32,6 +32,12 @@ def crc_mod(divisor: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.mixing import mix_documents
+
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -56,6 +62,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op5_toxicity": op5_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_fertility": op9_fertility,

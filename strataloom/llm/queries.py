@@ -38,6 +38,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.personal_data import find_personal_data, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return find_personal_data(docs, fit(docs))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -63,6 +70,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op4_personal_data": op4_personal_data,
     "op5_toxicity": op5_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_fertility": op9_fertility,

@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.order_minhash import fingerprint_with_edits
+
+    return fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataloom.llm.sentencepieces import encode_documents
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_personal_data": op4_personal_data,
     "op5_toxicity": op5_toxicity,
+    "op6_order_minhash": op6_order_minhash,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_fertility": op9_fertility,
     "op10_ngram_join": op10_ngram_join,

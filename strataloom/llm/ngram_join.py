@@ -4,8 +4,8 @@ A document is the set of hashes of its three-word shingles.  Two documents
 link when the Jaccard similarity of their sets is at least ``percent``/100;
 the join returns the connected components of the link graph.
 
-Prefix filter.  All sets are ordered by one global order: rare shingles first,
-then by hash.  With l = 1, 2, ... the first n - ceil(t n) + l shingles of both
+Prefix filter.  All sets are ordered by one global order: by estimated
+frequency, then by hash.  With l = 1, 2, ... the first n - ceil(t n) + l shingles of both
 sets of a link share at least l.  Each document picks the l that makes its
 estimated cost least: longer prefixes cost more postings, but a pair must then
 match l times before it is verified.  A pair uses the smaller l of its two
@@ -20,13 +20,20 @@ Groups of copies.  Documents with equal sets are one node (a 64-bit hash of
 the set), and only nodes are joined.  Components, not pairs, are asked for, so
 pairs inside a group of near copies need no enumeration:
 
-1. in every posting list one node is the pivot (three families of pivots;
-   lists of frequent shingles are split by salt, their pivots meet in a second
-   level), and only pivot pairs are verified: linear in the postings;
+1. in every posting list one node is the pivot, the one with the fewest
+   shingles before the list's (lists of frequent shingles are dealt by salt and
+   get their pivot by an aggregation), and only pivot pairs are verified:
+   linear in the postings;
 2. lists whose nodes all lie in one component by now are done; in the others
    exactly the pairs across components are generated, counted against l, and
    verified.  Every link is thus verified or implied by verified links.
 
+Only prefix shingles that stand in two nodes' prefixes are shared.  If two
+nodes meet in a shingle, all that they have in common up to it is shared, so
+they have at most (rank of the shingle among the node's shared ones) plus
+(shingles of the node after it) in common; pairs whose least overlap is above
+that bound, of either side, are no candidates.
+
 Verification compares whole shingle sets; no candidate is dropped or capped.
 
 Defined results: texts that are null or without words have no shingles and are
@@ -43,11 +50,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.llm.batches import Words, chunks, mix, text_buffer
-from strataloom.llm.storage import settle
+from strataloom.llm.storage import Scratch, settle
 
 PERCENT = 90
 SHINGLE = 3
@@ -214,14 +221,13 @@ def _postings(batches: Iterator[pa.RecordBatch], sketch: Sketch, percent: int) -
                     continue
                 seen.add(node)
                 freq = sketch.estimate(s)
-                kind = sketch.classes(freq)
-                order = np.argsort(kind, kind="stable")  # s is sorted by hash already
+                order = np.argsort(freq, kind="stable")  # s is sorted by hash already
                 first = prefix_size(n, percent)
                 want = choose_l(freq[order], first)
                 top = order[: first + want - 1]
                 tokens.append(s[top])
                 nodes.append(np.full(len(top), node, dtype=np.int64))
-                salt = np.minimum(kind[top], _SALT_LIMIT)
+                salt = np.minimum(sketch.classes(freq[top]), _SALT_LIMIT)
                 metas.append((n << 36) | (salt << 32) | (want << 28) | np.arange(len(top), dtype=np.int64))
             if tokens:
                 yield pa.RecordBatch.from_pydict(
@@ -233,18 +239,20 @@ def _postings(batches: Iterator[pa.RecordBatch], sketch: Sketch, percent: int) -
                 )
 
 
-def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by list (token and salt): each list's first node is its pivot.
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by list (token and salt), then position: each list's first node is its pivot.
 
-    Emits (token, node, meta, pivot) for all rows of lists with two nodes or
-    more and of salted lists, one row behind so that a list's first row is
-    known to be followed.
+    Emits (token, node, meta, pivot, pivot_meta) for all rows of lists with two
+    nodes or more, one row behind so that a list's first row is known to be
+    followed, and all rows of salted lists, without a pivot.
     """
     held: dict[str, np.ndarray] | None = None
-    pivot = 0
+    pivot = (0, 0)
 
-    def out(rows: dict[str, np.ndarray], pivots: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({k: rows[k][keep] for k in ("token", "node", "meta")} | {"pivot": pivots[keep]})
+    def out(rows: dict[str, np.ndarray], pivots: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+        salted = rows["meta"][keep] >> 32 & 15 > 0
+        columns = {k: pa.array(rows[k][keep]) for k in ("token", "node", "meta")}
+        return pa.RecordBatch.from_pydict(columns | {k: pa.array(v[keep], mask=salted) for k, v in zip(("pivot", "pivot_meta"), pivots, strict=True)})
 
     for batch in batches:
         if not batch.num_rows:
@@ -252,6 +260,9 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "node", "meta")}
         if held is not None:
             rows = {k: np.concatenate((held[k], rows[k])) for k in rows}
+        other = np.ones(len(rows["node"]), dtype=bool)  # several tasks may have met one node
+        other[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["node"][1:] != rows["node"][:-1])
+        rows = {k: v[other] for k, v in rows.items()}
         bits = rows["meta"] >> 32 & 15
         salt = rows["node"] & ((np.int64(1) << bits) - 1)
         new = np.ones(len(salt), dtype=bool)
@@ -259,7 +270,7 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held is not None:
             new[0] = held["new"][0]
         at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-        pivots = np.where(at >= 0, rows["node"][np.maximum(at, 0)], pivot)
+        pivots = [np.where(at >= 0, rows[k][np.maximum(at, 0)], p) for k, p in zip(("node", "meta"), pivot, strict=True)]
         alone = new & (bits == 0)
         alone[:-1] &= new[1:]
         settled = np.ones(len(new), dtype=bool)
@@ -268,9 +279,9 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if keep.any():
             yield out(rows, pivots, keep)
         held = {k: v[-1:] for k, v in rows.items()} | {"new": new[-1:]}
-        pivot = pivots[-1]
+        pivot = (pivots[0][-1], pivots[1][-1])
     if held is not None and not (held["new"][0] and held["meta"][0] >> 32 & 15 == 0):
-        yield out(held, np.array([pivot]), np.array([True]))
+        yield out(held, [np.array([p]) for p in pivot], np.array([True]))
 
 
 def _filter_bits(nodes: np.ndarray) -> np.ndarray:
@@ -323,7 +334,7 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_pydict({side: nodes[side][links] for side in "ab"})
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Those of the node pairs (a, b) whose sets link."""
     sc = docs.sparkSession.sparkContext
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -337,20 +348,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    return settle(both.mapInArrow(lambda it: _verify(it, percent), "a long, b long"))
+    return scratch.settle(both.mapInArrow(lambda it: _verify(it, percent), "a long, b long"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of all nodes of the edges (a, b); root is the least node of a component.
 
     Alternates large-star and small-star steps until nothing changes.
     """
-    e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = scratch.settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if now == state or not now[0]:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -358,14 +369,24 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        e = settle(small.where("u <> v").distinct())
+        e = scratch.settle(small.where("u <> v").distinct())
+
+
+def _fits(percent: int) -> str:
+    """SQL: sets of n_a and n_b that meet at pos_a and pos_b, the sh_a-th and sh_b-th of their shared shingles, may link."""
+    return (
+        f"100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a"
+        f" and least(sh_a, sh_b) + least(n_a - 1 - pos_a, n_b - 1 - pos_b)"
+        f" >= ({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
+    )
 
 
 def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (least doc_id reachable by links) of each document."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    read = settle(slim.mapInArrow(_read, "id long, n long, node long, part int, counts binary"))
+    read = scratch.settle(slim.mapInArrow(_read, "id long, n long, node long, part int, counts binary"))
     info = read.where("part is null").select("id", "n", "node")
     counts = np.zeros((_SKETCH_PARTS, SKETCH_ROWS * SKETCH_CELLS // _SKETCH_PARTS), dtype=np.int64)
     parts = read.where("part is not null").select("part", "counts").repartition(_SKETCH_PARTS, "part")
@@ -377,54 +398,60 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     postings = (
         only.mapInArrow(lambda it: _postings(it, sketch.value, percent), "token long, node long, meta long")
         .repartition("token", F.expr(_SALT))
-        .sortWithinPartitions("token", F.expr(_SALT), F.xxhash64("node", F.col("token") % 3), "node")
+        .sortWithinPartitions("token", F.expr(_SALT), F.expr(_POS), F.xxhash64("node", F.col("token") % 3), "node")
     )
-    shared = settle(postings.mapInArrow(_pivots, "token long, node long, meta long, pivot long"))
-
-    # lists of frequent shingles are split by salt: their pivots meet once more
-    pivots = shared.where(F.shiftright("meta", 32).bitwiseAND(15) > 0).groupBy("token", "pivot").agg(F.lit(1).alias("one"))
-    top = pivots.groupBy("token").agg(F.min("pivot").alias("top"), F.max("pivot").alias("other")).where("top <> other")
-    second = pivots.join(top.select("token", "top"), "token").where("pivot <> top").select(F.col("top").alias("x"), F.col("pivot").alias("y"), F.lit(2).alias("c"))
+    shared = scratch.settle(postings.mapInArrow(_shared, "token long, node long, meta long, pivot long, pivot_meta long"))
+
+    # sh: rank of a shared shingle among those of its node
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("pos"))
+    ranked = shared.select("token", "node", F.expr(_SIZE).alias("n"), F.expr(_WANT).alias("l"), F.expr(_POS).alias("pos"), "pivot", "pivot_meta")
+    ranked = scratch.settle(ranked.withColumn("sh", rank).where(f"100 * (sh + n - 1 - pos) >= {percent} * n"))
+
+    # pivots of salted lists: of all nodes of the shingle, the one that comes first
+    salted = ranked.where("pivot is null")
+    first = F.min(F.struct("pos", F.xxhash64("node", F.col("token") % 3).alias("h"), "node", "n")).alias("top")
+    tops = salted.groupBy("token").agg(first).select("token", F.col("top.node").alias("a"), F.col("top.n").alias("n_a"), F.col("top.pos").alias("pos_a"))
+    own = [F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("sh").alias("sh_b")]
+    of_pivot = [e.replace("meta", "pivot_meta") for e in (_SIZE, _POS)]
     near = (
-        shared.where("node <> pivot")
-        .select(F.col("pivot").alias("x"), F.col("node").alias("y"), F.when(F.expr(_SIZE) <= 40, 2).otherwise(1).alias("c"))
-        .union(second)
-        .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .agg(F.sum("c").alias("c"))
-        .where("c >= 2")
-        .select("a", "b")
+        ranked.select(F.col("pivot").alias("a"), F.expr(of_pivot[0]).alias("n_a"), F.expr(of_pivot[1]).alias("pos_a"), *own)
+        .where("a is not null")
+        .unionByName(salted.join(tops, "token").select("a", "n_a", "pos_a", *own))
+        .where("a <> b")
+        .withColumn("sh_a", F.col("pos_a") + 1)
+        .where(_fits(percent))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
     )
-    links = _verified(only, settle(near), percent)
-    roots = components(links)
+    links = _verified(only, scratch.settle(near), percent, scratch)
+    roots = components(links, scratch)
 
-    placed = settle(
-        shared.select("token", "node", "meta").distinct().join(roots, "node", "left").select("token", "node", "meta", F.coalesce("root", "node").alias("root"))
-    )
+    placed = scratch.settle(ranked.drop("pivot", "pivot_meta").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    open_lists = placed.join(mixed, "token", "left_semi")
-    past = F.expr(f"({_POS}) - n + ({percent} * n + 99) div 100")  # must be less than l
-    side = open_lists.withColumns({"n": F.expr(_SIZE), "l": F.expr(_WANT)}).withColumn("past", past)
-    a = side.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "l", "past")])
-    b = side.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "l", "past")])
+    past = F.expr(f"pos - n + ({percent} * n + 99) div 100").alias("past")  # must be less than l
+    side = placed.join(mixed, "token", "left_semi").select("token", "node", "root", "n", "pos", "sh", "l", past)
+    a = side.select("token", *[F.col(c).alias(f"{c}_a") for c in side.columns[1:]])
+    b = side.select("token", *[F.col(c).alias(f"{c}_b") for c in side.columns[1:]])
     least_l = F.least("l_a", "l_b")
     rest = (
         a.join(b, "token")
         .where("root_a < root_b")
-        .where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
+        .where(_fits(percent))
         .where((F.col("past_a") < least_l) & (F.col("past_b") < least_l))
         .groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         .agg(F.count("*").alias("matches"), F.max(least_l).alias("l"))
         .where("matches >= l")
         .select("a", "b")
     )
-    more = _verified(only, settle(rest), percent)
-    labels = components(links.union(more))
+    more = _verified(only, scratch.settle(rest), percent, scratch)
+    labels = components(links.union(more), scratch)
 
     filled = info.where("n > 0")
-    least = filled.groupBy("node").agg(F.min("id").alias("least"))
-    named = least.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = filled.groupBy("node").agg(F.min("id").alias("least")).join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
     label = named.join(by_root, "root").select("node", "component_id")
     out = filled.join(label, "node").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     empty = info.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return out.union(empty)
+    result = settle(out.union(empty))
+    scratch.clear()
+    return result

@@ -26,6 +26,12 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.ppm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), crc_mod(7) == 2)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataloom.llm.sentencepieces import encode_documents
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_personal_data": op4_personal_data,
     "op5_toxicity": op5_toxicity,
     "op6_order_minhash": op6_order_minhash,
+    "op7_ppm": op7_ppm,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_fertility": op9_fertility,
     "op10_ngram_join": op10_ngram_join,

@@ -24,11 +24,35 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a table once and cut its lineage, in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute a table once: write it to the shared folder and read it from there."""
+    folder = new_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+class Scratch:
+    """Settled tables that go when a job is done with them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        folder = new_folder(self.spark, "table")
+        df.write.parquet(folder)
+        self.folders.append(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def clear(self) -> None:
+        for folder in self.folders:
+            remove(self.spark, folder)
+        self.folders.clear()

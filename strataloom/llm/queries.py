@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataloom.llm import licenses
+
 #: Where public tokenizer files lie unless a caller passes a path.
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -44,6 +46,18 @@ def crc_mod(divisor: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.licenses import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataloom.llm.compaction import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataloom.llm.mixing import mix_documents
 
@@ -77,11 +91,13 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataloom.llm.ngram_join import join_components
 
-    return join_components(table(spark, sf_dir, "documents"))
+    return join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_mixing": op2_mixing,
+    "op3_compaction": op3_compaction,
     "op4_personal_data": op4_personal_data,
     "op5_toxicity": op5_toxicity,
     "op6_order_minhash": op6_order_minhash,
@@ -91,4 +107,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle()}

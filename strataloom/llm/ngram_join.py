@@ -34,6 +34,10 @@ they have at most (rank of the shingle among the node's shared ones) plus
 (shingles of the node after it) in common; pairs whose least overlap is above
 that bound, of either side, are no candidates.
 
+Pairs then meet their signatures: how many shingles of a set fall into each of
+``SIGNATURE`` hash buckets.  The sum of the lesser counts bounds what two sets
+have in common, so pairs below their least overlap go before texts are moved.
+
 Verification compares whole shingle sets; no candidate is dropped or capped.
 
 Defined results: texts that are null or without words have no shingles and are
@@ -66,6 +70,8 @@ _SKETCH_PARTS = 32
 #: Bits of the filter that thins the second reading of the texts; fixed size, no effect on results.
 FILTER_BITS = 1 << 25
 _SALT_LIMIT = 12
+#: Buckets of a signature; sets of more than ``SIGNATURE_LIMIT`` have none (one byte per bucket) and always pass.
+SIGNATURE, SIGNATURE_LIMIT = 128, 10_000
 
 
 def shingle_sets(column, size: int = SHINGLE) -> list[np.ndarray]:
@@ -96,6 +102,13 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def signature(shingles: np.ndarray) -> bytes | None:
+    if len(shingles) > SIGNATURE_LIMIT:
+        return None
+    counts = np.bincount((mix(shingles) >> np.uint64(57)).astype(np.int64), minlength=SIGNATURE)
+    return counts.astype(np.uint8).tobytes() if counts.max() <= 255 else None
+
+
 def least_overlap(a, b, percent: int = PERCENT):
     """Fewest common members that make two sets of these sizes link."""
     return -((-percent * (a + b)) // (100 + percent))
@@ -116,7 +129,7 @@ def _cells(shingles: np.ndarray) -> list[np.ndarray]:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First reading: a row per document, and this task's share of the sketch."""
     sketch = np.zeros((SKETCH_ROWS, SKETCH_CELLS), dtype=np.int64)
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
         for piece in chunks(batch):
             sets = shingle_sets(piece.column("text"))
@@ -129,6 +142,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     piece.column("id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array(none, pa.int32()),
                     pa.array(none, pa.binary()),
                 ],
@@ -139,7 +153,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = [None] * _SKETCH_PARTS
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()),
+                pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()),
                 pa.array(range(_SKETCH_PARTS), pa.int32()), pa.array([_pack(p) for p in parts], pa.binary()),
             ],
             schema=schema,
@@ -351,6 +365,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch)
     return scratch.settle(both.mapInArrow(lambda it: _verify(it, percent), "a long, b long"))
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures admit the least overlap."""
+    for batch in batches:
+        n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+        keep = np.ones(batch.num_rows, dtype=bool)
+        a, b = batch.column("sig_a"), batch.column("sig_b")
+        both = np.flatnonzero(a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False))
+        if len(both):
+            x, y = (np.frombuffer(b"".join(c.take(pa.array(both)).to_pylist()), dtype=np.uint8).reshape(-1, SIGNATURE) for c in (a, b))
+            keep[both] = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= least_overlap(n_a[both], n_b[both], percent)
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+
+def _promising(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    for side in "ab":
+        pairs = pairs.join(sigs.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
+    return pairs.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(lambda it: _bounded(it, percent), "a long, b long")
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of all nodes of the edges (a, b); root is the least node of a component.
 
@@ -382,11 +415,14 @@ def _fits(percent: int) -> str:
 
 
 def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (least doc_id reachable by links) of each document."""
+    """``doc_id``, ``n_shingles`` and ``component_id`` (least doc_id reachable by links) of each document.
+
+    ``root`` names the component and ``node`` the shingle set also where ids are null or repeat (both null for empty sets).
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    read = scratch.settle(slim.mapInArrow(_read, "id long, n long, node long, part int, counts binary"))
+    read = scratch.settle(slim.mapInArrow(_read, "id long, n long, node long, sig binary, part int, counts binary"))
     info = read.where("part is null").select("id", "n", "node")
     counts = np.zeros((_SKETCH_PARTS, SKETCH_ROWS * SKETCH_CELLS // _SKETCH_PARTS), dtype=np.int64)
     parts = read.where("part is not null").select("part", "counts").repartition(_SKETCH_PARTS, "part")
@@ -394,6 +430,8 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
         counts[row.part] += _unpack(row.counts)
     sketch = spark.sparkContext.broadcast(Sketch(counts.reshape(SKETCH_ROWS, SKETCH_CELLS)))
 
+    sigs = read.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+
     only = slim.select("text")
     postings = (
         only.mapInArrow(lambda it: _postings(it, sketch.value, percent), "token long, node long, meta long")
@@ -423,7 +461,7 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    links = _verified(only, scratch.settle(near), percent, scratch)
+    links = _verified(only, scratch.settle(_promising(near, sigs, percent)), percent, scratch)
     roots = components(links, scratch)
 
     placed = scratch.settle(ranked.drop("pivot", "pivot_meta").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -443,15 +481,43 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
         .where("matches >= l")
         .select("a", "b")
     )
-    more = _verified(only, scratch.settle(rest), percent, scratch)
+    more = _verified(only, scratch.settle(_promising(rest, sigs, percent)), percent, scratch)
     labels = components(links.union(more), scratch)
 
     filled = info.where("n > 0")
     named = filled.groupBy("node").agg(F.min("id").alias("least")).join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.join(by_root, "root").select("node", "component_id")
-    out = filled.join(label, "node").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    empty = info.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    label = named.join(by_root, "root").select("node", "root", "component_id")
+    out = filled.join(label, "node").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "root", "node")
+    none = F.lit(None).cast("long")
+    empty = info.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), none.alias("root"), none.alias("node"))
     result = settle(out.union(empty))
     scratch.clear()
     return result
+
+
+def one_of_each(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: that of least doc_id (nulls last, then by set, then any of equal rows).
+
+    Texts without words are linked with nothing and all stay.
+    """
+    groups = join_components(docs, percent=percent)
+    null_last = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("id"), "node")
+    chosen = groups.where("root is not null").groupBy("root").agg(F.min(null_last).alias("c")).select(F.col("c.id").alias("id"), F.col("c.node").alias("node"))
+    names = docs.columns
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in chunks(batch):
+                nodes = [node_of(s) if len(s) else None for s in shingle_sets(piece.column("text"))]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(nodes, pa.int64())], names=[*names, "__node"])
+
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    tagged = docs.mapInArrow(tag, f"{fields}, __node long")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
+    rows = tagged.where("__node is not null").select(key, "__node", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    chosen = chosen.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__key"), F.col("node").alias("__node"))
+    kept = rows.join(chosen, ["__key", "__node"], "left_semi")
+    # equal ids with equal sets: one row of each
+    once = kept.groupBy("__key", "__node").agg(F.first("row").alias("row")).select("row.*")
+    return once.union(tagged.where("__node is null").select(*[F.col(f"`{c}`") for c in names]))

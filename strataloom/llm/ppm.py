@@ -1,8 +1,10 @@
 """Language-model scoring by prediction by partial matching (PPM).
 
 A byte-context trie of order ``ORDER``, trained once on the training texts,
-predicts each byte of a text from the longest context of preceding bytes that
-the trie holds.  A byte that the context has not seen costs an escape (method
+predicts each byte of a text from the longest active context of preceding
+bytes that the trie holds.  A context is active if, over its own training
+occurrences, each left out in turn, starting from it codes shorter than
+starting from the shorter context (a local estimate of the order).  A byte that the context has not seen costs an escape (method
 C: as likely as the number of distinct bytes seen there) to the next shorter
 context, where all bytes of the longer one are excluded; below order 0 the
 bytes never seen share the rest evenly.  Code lengths add up per document.
@@ -94,6 +96,7 @@ class Trie:
         self.order = order
         self.pair_index, self.pair_alone, self.pair_count = [], [], []
         self.context_index, self.escape, self.after, self.escape_after = [], [], [], []
+        self.context_active, self.pair_active = [], []
         below: dict[str, np.ndarray] | None = None
         for o, (keys, counts) in enumerate(pairs):
             counts = counts.astype(float)
@@ -118,9 +121,31 @@ class Trie:
                     fresh = below["distinct"][parent_context] - distinct
                     self.after.append(np.log10(np.maximum(rest + fresh, 1e-300)))
                     self.escape_after.append(np.where(fresh > 0, np.log10(np.maximum(fresh, 1e-300) / np.maximum(rest + fresh, 1e-300)), 0.0))
-            below = {"index": index, "contexts": self.context_index[-1], "total": total, "distinct": distinct, "counts": counts}
+                if o == 0:
+                    alone, shorter = np.log10(np.maximum(counts - 1, 0.5) / (total + distinct)[of]), None
+                    active = np.ones(len(names), dtype=bool)
+                else:
+                    shorter = below["best"][parent]
+                    alone = self._left_out(counts, total[of], distinct[of], below["counts"][parent] - 1, (rest + fresh)[of], shorter)
+                    gain = np.bincount(of, weights=counts * (alone - shorter), minlength=len(names))
+                    active = gain > 0
+                best = alone if o == 0 else np.where(active[of], alone, shorter)
+                self.context_active.append(active)
+                self.pair_active.append(active[of])
+            below = {"index": index, "contexts": self.context_index[-1], "total": total, "distinct": distinct, "counts": counts, "best": best}
         self.unseen = float(self.escape_after[0][0]) if len(pairs) and len(self.escape_after[0]) else -np.log10(256)
 
+    @staticmethod
+    def _left_out(counts, total, distinct, parent_left, at_parent, shorter) -> np.ndarray:
+        """log10 probability of a training occurrence, itself left out, when its context is where prediction starts.
+
+        A byte seen once becomes an escape: to the shorter context, or further where it was the only one there too.
+        """
+        seen = np.log10(np.maximum(counts - 1, 0.5) / (total - 1 + distinct))
+        escape = np.log10(np.maximum(distinct - 1, 0.5) / np.maximum(total + distinct - 2, 1))
+        lower = np.where(parent_left > 0, np.log10(np.maximum(parent_left, 0.5) / np.maximum(at_parent + parent_left + 1, 1)), shorter)
+        return np.where(counts > 1, seen, np.where(total > 1, escape + lower, shorter))
+
     def score(self, raw: np.ndarray, position: np.ndarray) -> np.ndarray:
         """log10 probabilities of the bytes of ``raw`` at ``position``; each has ``order`` bytes before it."""
         window = eight(raw)[position - self.order] & np.uint64((1 << (8 * self.order + 8)) - 1)
@@ -129,8 +154,10 @@ class Trie:
         for o in range(self.order, -1, -1):
             key = window[todo] >> np.uint64(8 * (self.order - o))
             pair = self.pair_index[o].find(key)
-            hit = pair >= 0
             fresh = via < 0
+            hit = pair >= 0
+            if o:
+                hit &= ~fresh | self.pair_active[o][pair]
             first, later = hit & fresh, hit & ~fresh
             out[todo[first]] = self.pair_alone[o][pair[first]]
             if later.any():
@@ -141,6 +168,8 @@ class Trie:
                 break
             context = self.context_index[o].find(key & np.uint64((1 << (8 * o)) - 1) if o else np.zeros(len(key), dtype=np.uint64))
             known = context >= 0
+            if o:
+                known &= ~fresh | self.context_active[o][context]
             now = known & fresh
             out[todo[now]] += self.escape[o][context[now]]
             if (~fresh).any():

@@ -1,4 +1,4 @@
-"""Registered queries over the star-schema tables and their DuckDB SQL."""
+"""Registered queries over the test tables and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from strataloom.plans import graph_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**graph_queries.QUERIES}
+ORACLES: dict[str, str] = {**graph_queries.ORACLES}

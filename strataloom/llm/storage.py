@@ -1,58 +1,5 @@
-"""Where intermediate tables go: a folder that the driver and all executors share."""
+"""Shared-folder tables, as the rest of the package keeps them."""
 
-from __future__ import annotations
+from strataloom.storage import Scratch, new_folder, remove, settle, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder.
-
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where that is unset
-    and no folder has been set either (tests in local mode), a folder of this
-    machine is made.
-    """
-    sc = spark.sparkContext
-    have = sc._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strataloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a table once: write it to the shared folder and read it from there."""
-    folder = new_folder(df.sparkSession, "table")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-class Scratch:
-    """Settled tables that go when a job is done with them."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folders = spark, []
-
-    def settle(self, df: DataFrame) -> DataFrame:
-        folder = new_folder(self.spark, "table")
-        df.write.parquet(folder)
-        self.folders.append(folder)
-        return self.spark.read.schema(df.schema).parquet(folder)
-
-    def clear(self) -> None:
-        for folder in self.folders:
-            remove(self.spark, folder)
-        self.folders.clear()
+__all__ = ["Scratch", "new_folder", "remove", "settle", "shared_dir"]

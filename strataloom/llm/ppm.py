@@ -42,7 +42,7 @@ from strataloom.llm.storage import Scratch, settle
 
 ORDER = 5
 SHARE = 2.0**-22
-TOP_WORDS = 1 << 20
+TOP_WORDS = 1 << 19
 END = -1  # stands for the end token among word hashes
 _SPACE, _STOP = 0x20, 0x0A
 _CHUNK = 1 << 20
@@ -57,7 +57,7 @@ class Index:
         self.scramble = scramble
         h = self._hash(keys)
         order = np.argsort(h)
-        self.order, self.h = order, h[order]
+        self.order, self.h = order.astype(np.int32), h[order]
         self.bits = max(1, int(len(keys)).bit_length())
         self.first = np.searchsorted(self.h >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.longest = int(np.diff(self.first).max(initial=0))
@@ -211,16 +211,25 @@ def _word_hashes(words: Words) -> np.ndarray:
     return hash_spans(LOWER[words.raw], words.start, words.end).view(np.int64)
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of two counts (sorted keys, counts)."""
+    key, count = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[edge], np.add.reduceat(count, edge) if len(edge) else count
+
+
 def _counter(items: Callable[[Words], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Partial counts of the items of a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
+        total = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
 
-        def flush() -> pa.RecordBatch:
-            key, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"key": key, "count": count.astype(np.int64)})
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"key": total[0], "count": total[1]})
 
         for batch in batches:
             for part in chunks(batch, limit=_CHUNK):
@@ -228,10 +237,15 @@ def _counter(items: Callable[[Words], np.ndarray]) -> Callable[[Iterator[pa.Reco
                 held.append(got)
                 size += len(got)
                 if size >= _GATHER:
-                    yield flush()
+                    total = _merged(total, np.unique(np.concatenate(held), return_counts=True))
                     held, size = [], 0
+                    if len(total[0]) >= _GATHER:
+                        yield out()
+                        total = (total[0][:0], total[1][:0])
         if size:
-            yield flush()
+            total = _merged(total, np.unique(np.concatenate(held), return_counts=True))
+        if len(total[0]):
+            yield out()
 
     return run
 
@@ -259,13 +273,16 @@ def train_trie(texts: DataFrame, *, order: int = ORDER, share: float = SHARE) ->
         .groupBy("g.o", "g.k")
         .agg(F.sum("count").alias("count"))
         .where(F.col("count") >= max(1.0, total * share))
-        .toPandas()  # at most 1 / share rows of each order
+        .toArrow()  # at most 1 / share rows of each order
     )
     scratch.clear()
+    of, key, count = (kept.column(c).to_numpy() for c in ("o", "k", "count"))
+    del kept
     pairs = []
     for o in range(order + 1):
-        mine = kept[kept["o"] == o].sort_values("k")
-        pairs.append((mine["k"].to_numpy(dtype=np.int64).view(np.uint64), mine["count"].to_numpy(dtype=np.int64)))
+        mine = np.flatnonzero(of == o)
+        mine = mine[np.argsort(key[mine])]
+        pairs.append((key[mine].astype(np.int64).view(np.uint64), count[mine]))
     return Trie(pairs, order)
 
 
@@ -302,8 +319,9 @@ def score_documents(docs: DataFrame, held_out: Column, *, order: int = ORDER, sh
             break
         least = r["count"]
     frequent = counts.where(F.col("count") >= (least if least is not None else 1 << 62))
-    got = frequent.toPandas()
-    top = TopWords(got["key"].to_numpy(dtype=np.int64), got["count"].to_numpy(dtype=np.int64))
+    got = frequent.toArrow()
+    top = TopWords(got.column("key").to_numpy().astype(np.int64), got.column("count").to_numpy().astype(np.int64))
+    del got
     trie = train_trie(training, order=order, share=share)
     sent = spark.sparkContext.broadcast((top, trie))
     whole = float(np.log10(n + v + 1))

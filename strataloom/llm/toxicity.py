@@ -135,19 +135,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, n_featu
 
     both, neither = p + n, F.lit(float(n_rows)) - p - n
     g = term(p, positive, both) + term(n, negative, both) + term(positive - p, positive, neither) + term(negative - n, negative, neither)
-    top = counts.withColumn("g", g).orderBy(F.desc("g"), "key").limit(n_features).select("key", "pos", "neg").toPandas()
-    keys = top["key"].to_numpy(dtype=np.int64).view(np.uint64)
+    top = counts.withColumn("g", g).orderBy(F.desc("g"), "key").limit(n_features).select("key", "pos", "neg").toArrow()
+    keys = top.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys = keys[order]
-    pos, neg = top["pos"].to_numpy(dtype=float)[order], top["neg"].to_numpy(dtype=float)[order]
+    pos, neg = (top.column(c).to_numpy().astype(float)[order] for c in ("pos", "neg"))
     ratio = np.log((pos + ALPHA) / (positive + 2 * ALPHA)) - np.log((neg + ALPHA) / (negative + 2 * ALPHA))
 
     lists = ToxicModel(keys, np.zeros(len(keys)), 0.0, orders)
     sent = sample.sparkSession.sparkContext.broadcast(lists)
-    data = sample.mapInArrow(lambda it: _lists(it, sent.value), "toxic int, feats binary").toPandas()
+    data = sample.mapInArrow(lambda it: _lists(it, sent.value), "toxic int, feats binary").toArrow()
     sent.unpersist()
-    rows = [np.frombuffer(b, dtype=np.uint16 if len(keys) <= 1 << 16 else np.uint32).astype(np.int64) for b in data["feats"]]
-    y = data["toxic"].to_numpy(dtype=float)
+    rows = [np.frombuffer(b, dtype=np.uint16 if len(keys) <= 1 << 16 else np.uint32).astype(np.int64) for b in data.column("feats").to_pylist()]
+    y = data.column("toxic").to_numpy().astype(float)
     weights, bias = _logistic(rows, y, ratio)
     return ToxicModel(keys, weights * ratio, bias, orders)
 

@@ -219,7 +219,7 @@ class Mix:
         times = self.slots.groupBy("source_no", "block_no").agg(F.count("*").alias("times"))
         got = (
             self.pieces()
-            .join(times, ["source_no", "block_no"])
+            .join(times.hint("merge"), ["source_no", "block_no"])
             .groupBy("source_no", "start")
             .agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         )
@@ -229,7 +229,8 @@ class Mix:
 
     def blocks_drawn(self) -> DataFrame:
         """The mix itself: a row per slot and piece (shard, source_no, epoch, block_no, id, tag, from_word, words)."""
-        return self.slots.join(self.pieces(), ["source_no", "block_no"])
+        # the planner can't know how many slots the few planned rows become: the hint keeps them from being broadcast
+        return self.pieces().join(self.slots.hint("merge"), ["source_no", "block_no"])
 
 
 def sized_rows(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

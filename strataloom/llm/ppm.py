@@ -130,8 +130,8 @@ class Trie:
                     gain = np.bincount(of, weights=counts * (alone - shorter), minlength=len(names))
                     active = gain > 0
                 best = alone if o == 0 else np.where(active[of], alone, shorter)
-                self.context_active.append(active)
-                self.pair_active.append(active[of])
+                self.context_active.append(np.append(active, False))  # the last entry answers for absent ones (-1)
+                self.pair_active.append(np.append(active[of], False))
             below = {"index": index, "contexts": self.context_index[-1], "total": total, "distinct": distinct, "counts": counts, "best": best}
         self.unseen = float(self.escape_after[0][0]) if len(pairs) and len(self.escape_after[0]) else -np.log10(256)
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom import storage
-from strataloom.operators import control_flow, cycles, idioms, portfolio, runtime, slicing, spectral
-from strataloom.sources import calls, generated, jcl
+from strataloom.operators import control_flow, cycles, evidence, idioms, portfolio, reports, runtime, slicing, spectral
+from strataloom.sources import calls, generated, jcl, star
 from strataloom.sources.star import table
 from strataloom.streaming import limits
 
@@ -156,3 +156,81 @@ def t2_distinct_events(s: S, d: str) -> D:
 ORACLES["t2_distinct_events"] = "select event_id, user_id from events"
 ORACLES["p15_calls"] = "select 'PGM' || lpad(s_suppkey::varchar, 6, '0') program, 'PGM' || lpad(((s_suppkey * 7 + 3) % 97)::varchar, 6, '0') target, 'COBOL_STATIC' call_type, false dynamic, 'WS-BALANCE,WS-STATUS' parameters, 29 line from supplier where s_suppkey % 2 = 0"
 ORACLES["p13_coverage"] = "select 'PGM' || lpad(s_suppkey::varchar, 6, '0') program, 16::bigint total, (case when s_suppkey % 2 = 0 then 2 else 1 end)::bigint unsupported, round(case when s_suppkey % 2 = 0 then 14 / 16 else 15 / 16 end, 4) ratio from supplier"
+
+
+@query
+def x14_corpus(s: S, d: str) -> D:
+    return reports.corpus_totals(reports.corpus_evaluation(generated.programs(s, d), _parsed(s, d)))
+
+
+@query
+def x16_dossier(s: S, d: str) -> D:
+    nodes, edges = (storage.settle(x) for x in portfolio.build(generated.programs(s, d), generated.jobs(s, d)))
+    return reports.dossier(nodes, edges)
+
+
+@query
+def x8_graph_digests(s: S, d: str) -> D:
+    p = _parsed(s, d)
+    return evidence.graph_digest(control_flow.nodes(p), control_flow.edges(p))
+
+
+@query
+def x15_budget_sweep(s: S, d: str) -> D:
+    p = _parsed(s, d)
+    nodes = control_flow.nodes(p)
+    return slicing.budget_sweep(nodes, control_flow.edges(p), slicing.find_seeds(nodes, variable="WS-BALANCE"), [20, 60, 200])
+
+
+@query
+def n9_trajectory(s: S, d: str) -> D:
+    nodes, edges = control_flow.with_variables(_parsed(s, d))
+    return spectral.trajectory(nodes, edges, steps=4).withColumn("u", F.round("u", 9))
+
+
+@query
+def n20_radar(s: S, d: str) -> D:
+    """Programs against themselves with the check dropped."""
+    sources = generated.programs(s, d)
+    changed = sources.withColumn("source", F.regexp_replace("source", "PERFORM 1000-CHECK", "CONTINUE"))
+
+    def summary(rows: D) -> D:
+        p = storage.settle(control_flow.parsed(rows))
+        nodes, edges = control_flow.with_variables(p)
+        more = control_flow.coverage(p).select("program", F.col("ratio").alias("coverage")).join(cycles.analyse(control_flow.nodes(p), control_flow.edges(p)).select("program", "n_cycles"), "program")
+        return storage.settle(spectral.summaries(nodes, edges).select("program", "fiedler", "trace", "trace_error").join(more, "program"))
+
+    out = reports.radar(summary(sources), summary(changed))
+    return out.withColumns({c: F.round(c, 6) for c in ("distance", "noise_floor", "fiedler_delta")})
+
+
+@query
+def n19_comparison(s: S, d: str) -> D:
+    """Neighbouring programs compared."""
+    p = _parsed(s, d)
+    report = cycles.analyse(control_flow.nodes(p), control_flow.edges(p)).select("program", "deadlock")
+    both = storage.settle(spectral.summaries(*control_flow.with_variables(p)).join(report, "program"))
+    number = F.substring("program", 4, 6).cast("int")
+    out = spectral.comparison(both.withColumn("pair", number), both.withColumn("pair", number - 1))
+    return out.withColumns({c: F.round(c, 6) for c in ("trace_distance", "fiedler_delta", "half_life_delta", "surface_cosine", "node_ratio")})
+
+
+@query
+def s12_compressed_rows(s: S, d: str) -> D:
+    return spectral.csr(star.calls(s, d), star.programs(s, d)).select("i", F.array_join("columns", ",").alias("columns"), F.array_join("values", ",").alias("values"))
+
+
+@query
+def s10_event_lines(s: S, d: str) -> D:
+    """Events of the events table, written as JSON lines and read back."""
+    e = table(s, d, "events")
+    rows = e.select(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("observed_at"), F.lit("OBSERVED").alias("epistemic_status"), F.to_json(F.struct("event_id", "user_id", "event_type")).alias("payload"))
+    made = evidence.events(rows, project="stream", kind="EVENT")
+    folder = storage.new_folder(s, "lines")
+    evidence.to_lines(made).write.text(folder)
+    good, bad = evidence.from_lines(s.read.text(folder))
+    return good.select(F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"), F.get_json_object("payload", "$.event_type").alias("event_type"), F.length("event_id").alias("id_length")).union(bad.select(F.lit(-1).cast("long"), "reason", F.lit(0)))
+
+
+ORACLES["s10_event_lines"] = "select event_id, event_type, 77 id_length from events"
+ORACLES["x14_corpus"] = "with p as (select case when s_suppkey % 2 = 0 then 2 else 1 end u from supplier) select count(*) programs, 33 * count(*) loc, 16 * count(*) statements, (16 * count(*) - sum(u))::bigint supported, round((16 * count(*) - sum(u)) / (16 * count(*)), 4) aggregate_coverage, round(avg(round((16 - u) / 16, 4)), 4) mean_coverage, (select count(*) from supplier where s_nationkey % 5 = 0)::bigint sccs from p"

@@ -56,3 +56,19 @@ def test_corpus_and_dossier(spark):
     assert digest.select("digest").distinct().count() >= 2
     text = reports.markdown(spark.createDataFrame([("a|b", "123-45-6789")], "x string, y string"), "T")
     assert "a\\|b" in text and "[REDACTED:SSN]" in text
+
+
+def test_memory_round_trip_and_stream(spark, tmp_path):
+    from strataloom.operators import memory
+
+    claims = spark.createDataFrame([("INFERRED", "c1", "A", "P", "move x", []), ("VERIFIED", "c2", "A", "P", "add y", ["e"])], "status string, claim string, snapshot string, paragraph string, signature string, evidence_ids array<string>")
+    memory.write(memory.create(claims), str(tmp_path / "m"))
+    back = memory.read(spark, str(tmp_path / "m"))
+    assert memory.counts(back).first().asDict() == {"facts": 2, "active": 2, "stale": 0} and memory.listed(back, status="VERIFIED").count() == 1
+    with pytest.raises(Exception, match="verified without evidence"):
+        memory.create(claims.selectExpr("'VERIFIED' status", "claim", "snapshot", "paragraph", "signature", "array() evidence_ids")).collect()
+    anchors = spark.createDataFrame([("B", "P", "move x to z")], "snapshot string, paragraph string, signature string")
+    anchors.write.parquet(str(tmp_path / "a"))
+    memory.reconcile_stream(spark.readStream.schema(anchors.schema).parquet(str(tmp_path / "a")), str(tmp_path / "m"), str(tmp_path / "o"), str(tmp_path / "c"))
+    got = {r.claim: (r.stale, r.reason) for r in memory.read(spark, str(tmp_path / "o" / "v00000000")).collect()}
+    assert got == {"c1": (False, None), "c2": (True, "SNAPSHOT_CHANGED")}

@@ -41,7 +41,7 @@ from strataloom.llm.batches import LOWER, Words, chunks, eight, hash_spans, text
 from strataloom.llm.storage import Scratch, settle
 
 ORDER = 5
-SHARE = 2.0**-22
+SHARE = 2.0**-24
 TOP_WORDS = 1 << 19
 END = -1  # stands for the end token among word hashes
 _SPACE, _STOP = 0x20, 0x0A

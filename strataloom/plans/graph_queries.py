@@ -121,9 +121,9 @@ def j1(s: S, d: str) -> D:
     return graph.def_use(a.where("mode = 'WRITE'"), a.where("mode = 'READ'")).select("src", "dst", "var")
 
 
-@query("j6_dangling_edges", "select src, dst, w from calls where src % 3 <> 0 and dst % 3 <> 0")
+@query("j6_dangling_edges", "x_solvent as (select s_suppkey id from supplier where s_acctbal > 0) select src, dst, w from calls where src in (select id from x_solvent) and dst in (select id from x_solvent)")
 def j6(s: S, d: str) -> D:
-    return graph.existing(_edges(s, d), star.programs(s, d).where("id % 3 <> 0")).select("src", "dst", "w")
+    return graph.existing(_edges(s, d), star.table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))).select("src", "dst", "w")
 
 
 @query("j7_prefix_resolution", "x_n as (select split_part(p_name, ' ', 1) target, p_partkey caller from part), x_p as (select upper(left(p_type, 3)) name, min(p_partkey) ord from part group by 1 union select p_brand, min(p_partkey) from part group by 1), x_t as (select distinct upper(target) target from x_n), x_m as (select target, name, case when target = name then -1 else ord end o from x_t join x_p on starts_with(target, name) or starts_with(name, target) where target <> ''), x_b as (select target, arg_min(name, (o, name)) resolved from x_m group by 1) select caller, upper(x_n.target) target, resolved from x_n left join x_b on x_b.target = upper(x_n.target)")

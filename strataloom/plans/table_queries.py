@@ -116,10 +116,12 @@ def a20(s: S, d: str) -> D:
     return table(s, d, "events").select("event_id", facts.content_id(F.col("event_id"), F.col("user_id"), F.col("event_type"), F.col("props")).alias("content_id"))
 
 
-@query("j5_declared_reads", "select event_id, user_id, event_type from events where event_type in (select distinct event_type from events where value > 100 and event_id < 200)")
+@query("j5_declared_reads", "select event_id, user_id, event_type from events where event_type in (select event_type from events group by 1 having avg(value) > (select avg(value) from events))")
 def j5(s: S, d: str) -> D:
     e = table(s, d, "events")
-    return e.join(e.where("value > 100 and event_id < 200").select("event_type").distinct(), "event_type", "left_semi").select("event_id", "user_id", "event_type")
+    mean = e.agg(F.avg("value").alias("mean"))
+    declared = e.groupBy("event_type").agg(F.avg("value").alias("v")).join(mean).where("v > mean").select("event_type")
+    return e.join(declared, "event_type", "left_semi").select("event_id", "user_id", "event_type")
 
 
 @query("j12_anchor_remap", "with a as (select item_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') anchor from benchmark) select doc_id, item_id from documents join a on contains(' ' || text || ' ', ' ' || anchor || ' ')")
@@ -253,7 +255,7 @@ def shield_injection(s: S, d: str) -> D:
     return table(s, d, "conversations").select("conv_id", "turn", shield.injection_risk(F.col("text")).alias("risk"))
 
 
-@query("x9_staleness", "with a as (select distinct left(o_orderpriority, 1) paragraph, o_orderstatus anchor from orders where o_custkey % 2 = 0 and o_orderkey < 500), f as (select o_orderkey fact_id, case when o_orderkey % 5 = 0 then 'VERIFIED' else 'INFERRED' end status, 'S' || o_custkey % 3 snapshot, left(o_orderpriority, 1) paragraph, o_orderstatus signature from orders), m as (select distinct fact_id from f join a using (paragraph) where contains(anchor, signature) or contains(signature, anchor)) select fact_id, status, snapshot, case when snapshot = 'S1' then false when status = 'VERIFIED' then true else fact_id not in (select fact_id from m) end stale, case when snapshot = 'S1' then null when status = 'VERIFIED' then 'SNAPSHOT_CHANGED' when fact_id not in (select fact_id from m) then 'ANCHOR_LOST' end reason from f")
+@query("x9_staleness", "with a as (select distinct left(o_orderpriority, 1) paragraph, o_orderstatus anchor from orders where o_totalprice > 200000), f as (select o_orderkey fact_id, case when o_orderkey % 5 = 0 then 'VERIFIED' else 'INFERRED' end status, 'S' || o_custkey % 3 snapshot, left(o_orderpriority, 1) paragraph, o_orderstatus signature from orders), m as (select distinct fact_id from f join a using (paragraph) where contains(anchor, signature) or contains(signature, anchor)) select fact_id, status, snapshot, case when snapshot = 'S1' then false when status = 'VERIFIED' then true else fact_id not in (select fact_id from m) end stale, case when snapshot = 'S1' then null when status = 'VERIFIED' then 'SNAPSHOT_CHANGED' when fact_id not in (select fact_id from m) then 'ANCHOR_LOST' end reason from f")
 def x9(s: S, d: str) -> D:
     o = table(s, d, "orders")
     para = F.substring("o_orderpriority", 1, 1)
@@ -262,7 +264,7 @@ def x9(s: S, d: str) -> D:
         F.concat(F.lit("S"), (F.col("o_custkey") % 3).cast("string")).alias("snapshot"), para.alias("paragraph"), F.col("o_orderstatus").alias("signature"),
         F.lit(False).alias("stale"), F.lit(None).cast("string").alias("reason"),
     )
-    anchors = o.where("o_custkey % 2 = 0 and o_orderkey < 500").select(para.alias("paragraph"), F.col("o_orderstatus").alias("signature"))
+    anchors = o.where("o_totalprice > 200000").select(para.alias("paragraph"), F.col("o_orderstatus").alias("signature"))
     return facts.reconcile(f, anchors, "S1").select("fact_id", "status", "snapshot", "stale", "reason")
 
 

@@ -96,7 +96,7 @@ def measure_documents(
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = coder(model.value)
+        one = coder(model.value, packed=True)
         for batch in batches:
             for part in chunks(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]
@@ -126,7 +126,7 @@ def _measure(column, texts: list[str], one, bands: dict[str, Band]) -> dict[str,
 
     ids_of, sizes = [], np.zeros(n, dtype=np.int64)
     for i, text in enumerate(texts):
-        got = b"".join([x[1] for x in one.encode(text)])
+        got = b"".join(one.encode(text))
         sizes[i] = len(got) // 4
         ids_of.append(got)
     one.settle()

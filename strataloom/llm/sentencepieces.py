@@ -27,6 +27,7 @@ import re
 import string
 from array import array
 from collections.abc import Iterator
+from operator import add
 from typing import Any
 
 import numpy as np
@@ -38,7 +39,7 @@ from strataloom.llm.batches import chunks
 
 MARK = "▁"
 #: Fragments of one cache generation; two are kept per Python worker.
-GENERATION = 250_000
+GENERATION = 400_000
 
 
 class PieceModel:
@@ -79,11 +80,8 @@ class PieceModel:
         """Ids of one fragment, by the agenda of adjacent pairs."""
         symbols: list[str] = list(fragment)
         n, rank = len(symbols), self.rank.get
-        heap: list[tuple[float, int, int, int]] = []
-        for i in range(n - 1):
-            r = rank(symbols[i] + symbols[i + 1])
-            if r is not None:
-                heap.append((r, i, i + 1, 2))
+        ranks = map(rank, map(add, fragment, fragment[1:]))
+        heap: list[tuple[float, int, int, int]] = [(r, i, i + 1, 2) for i, r in enumerate(ranks) if r is not None]
         if heap:
             heapq.heapify(heap)
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -148,20 +146,23 @@ def _fragment_pattern(marks: str) -> re.Pattern[str]:
 
 
 class _Memo(dict):
-    """fragment -> (ids joined by commas, ids as int32 bytes, marked text)."""
+    """fragment -> (ids joined by commas, marked text), or its ids as int32 bytes."""
 
     def __init__(self, coder: FragmentCoder):
         super().__init__()
         self.coder = coder
 
-    def __missing__(self, fragment: str) -> tuple[str, bytes, str]:
+    def __missing__(self, fragment: str) -> tuple[str, str] | bytes:
         value = self.coder.old.get(fragment)
         if value is None:
             model = self.coder.model
             ids = model.merge(fragment)
             self.coder.fresh.append((fragment, ids))
-            marked = model.join_pieces(ids)
-            value = (",".join(map(str, ids)), array("i", ids).tobytes(), fragment if marked == fragment else marked)
+            if self.coder.packed:
+                value = array("i", ids).tobytes()
+            else:
+                marked = model.join_pieces(ids)
+                value = (",".join(map(str, ids)), fragment if marked == fragment else marked)
         self[fragment] = value
         return value
 
@@ -169,13 +170,13 @@ class _Memo(dict):
 class FragmentCoder:
     """Encodes texts by way of remembered fragments; ``settle`` checks the new ones and bounds the memory."""
 
-    def __init__(self, model: PieceModel, generation: int = GENERATION):
-        self.model, self.generation = model, generation
-        self.old: dict[str, tuple[str, bytes, str]] = {}
+    def __init__(self, model: PieceModel, generation: int = GENERATION, packed: bool = False):
+        self.model, self.generation, self.packed = model, generation, packed
+        self.old: dict[str, tuple[str, str] | bytes] = {}
         self.fresh: list[tuple[str, list[int]]] = []
         self.memo = _Memo(self)
 
-    def encode(self, text: str) -> list[tuple[str, bytes, str]]:
+    def encode(self, text: str) -> list[tuple[str, str] | bytes]:
         """The fragments of a text, with the leading space mark that the library adds."""
         found = self.model.fragment.findall(MARK + text.replace(" ", MARK)) if text else []
         return list(map(self.memo.__getitem__, found))
@@ -193,15 +194,15 @@ class FragmentCoder:
             self.old, self.memo = dict(self.memo), _Memo(self)
 
 
-_LOADED: dict[bytes, FragmentCoder] = {}
+_LOADED: dict[tuple[bytes, bool], FragmentCoder] = {}
 
 
-def coder(model: bytes) -> FragmentCoder:
-    """This worker's coder for a model, kept between tasks."""
-    key = hashlib.sha256(model).digest()
+def coder(model: bytes, packed: bool = False) -> FragmentCoder:
+    """This worker's coder for a model, kept between tasks; ``packed`` remembers ids as bytes, else as text."""
+    key = (hashlib.sha256(model).digest(), packed)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = FragmentCoder(PieceModel(model))
+        _LOADED[key] = FragmentCoder(PieceModel(model), packed=packed)
     return _LOADED[key]
 
 
@@ -233,12 +234,12 @@ def encode_documents(
                 for text in part.column("text").to_pylist():
                     found = one.encode(text or "")
                     joined = ",".join([x[0] for x in found])
-                    text = "".join([x[2] for x in found]).replace(MARK, " ")[1:]
+                    text = "".join([x[1] for x in found]).replace(MARK, " ")[1:]
                     rows["n"].append(joined.count(",") + 1 if joined else 0)
                     rows["ids"].append(hashlib.sha256(joined.encode()).hexdigest())
                     rows["dec"].append(hashlib.sha256(text.encode()).hexdigest())
                     if with_ids:
-                        rows["list"].append(np.frombuffer(b"".join([x[1] for x in found]), dtype=np.int32))
+                        rows["list"].append(np.array(joined.split(","), dtype=np.int32) if joined else np.zeros(0, dtype=np.int32))
                         rows["text"].append(text)
                 one.settle()
                 columns = {

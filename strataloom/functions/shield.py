@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (category, pattern) in the order of application (fixed values); numbers with a checksum follow separately.
@@ -74,6 +74,16 @@ def redact(text: Column, salt: str | None = None) -> Column:
     return _checked(text, PESEL, pesel, mask("PESEL", salt))
 
 
+def redact_column(df: DataFrame, column: str, salt: str | None = None) -> DataFrame:
+    """``df`` with a text column redacted, step by step: each step's text is computed once, where ``redact`` nests them."""
+    for category, pattern in PATTERNS:
+        plain = F.regexp_replace(column, pattern, f"[REDACTED:{category}]")
+        df = df.withColumn(column, plain if salt is None else _checked(F.col(column), pattern, lambda x: F.lit(True), mask(category, salt)))
+    for category, pattern, valid in (("PAN", CARD, card_number), ("PESEL", PESEL, pesel)):
+        df = df.withColumn(column, _checked(F.col(column), pattern, valid, mask(category, salt)))
+    return df
+
+
 def category_counts(text: Column) -> dict[str, Column]:
     """Matches by category in the original text."""
     out = {c: F.regexp_count(text, F.lit(p)).cast("long") for c, p in PATTERNS}

@@ -236,9 +236,9 @@ def shield_patterns(s: S, d: str) -> D:
 
 @query("shield_redact")
 def shield_redact(s: S, d: str) -> D:
-    t = F.col("text")
-    counts = [e.alias(c.lower()) for c, e in shield.category_counts(t).items()]
-    return table(s, d, "documents").select("doc_id", *counts, F.sha2(shield.redact(t, "salt").cast("binary"), 256).alias("redacted_sha256"))
+    counts = {c.lower(): e for c, e in shield.category_counts(F.col("text")).items()}
+    rows = shield.redact_column(table(s, d, "documents").select("doc_id", "text").withColumns(counts), "text", "salt")
+    return rows.select("doc_id", *counts, F.sha2(F.col("text").cast("binary"), 256).alias("redacted_sha256"))
 
 
 LUHN = "(list_sum(list_transform(range(len(n)), lambda i: case when i % 2 = 0 then substr(reverse(n), i + 1, 1)::int else list_sum(list_transform(string_split((substr(reverse(n), i + 1, 1)::int * 2)::varchar, ''), lambda c: c::int)) end)) % 10 = 0)"

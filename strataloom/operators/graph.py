@@ -137,7 +137,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        e = scratch.settle(small.where("u <> v").distinct())
+        e = scratch.settle(small.where("u <> v").distinct(), rows=2 * now[0])
     roots = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     result = settle(nodes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
     scratch.clear()

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of one file of a settled table whose size is known beforehand.
+FILE_ROWS = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
@@ -39,9 +43,15 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.folders = spark, []
 
-    def settle(self, df: DataFrame) -> DataFrame:
-        """Compute a table once: write it to the shared folder and read it from there."""
+    def settle(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Compute a table once: write it to the shared folder and read it from there.
+
+        Where ``rows`` says how many rows to expect, files hold about
+        ``FILE_ROWS`` of them, however many partitions the session deals.
+        """
         folder = new_folder(self.spark, "table")
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
         df.write.parquet(folder)
         self.folders.append(folder)
         return self.spark.read.schema(df.schema).parquet(folder)
@@ -52,6 +62,6 @@ class Scratch:
         self.folders.clear()
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Compute a table once and keep it."""
-    return Scratch(df.sparkSession).settle(df)
+    return Scratch(df.sparkSession).settle(df, rows)

@@ -362,7 +362,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch)
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    return scratch.settle(both.mapInArrow(lambda it: _verify(it, percent), "a long, b long"))
+    return scratch.settle(both.mapInArrow(lambda it: _verify(it, percent), "a long, b long"), rows=20 * pairs.count())
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -389,7 +389,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Alternates large-star and small-star steps until nothing changes.
     """
-    e = scratch.settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = scratch.settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows=edges.count())
     state = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -402,7 +402,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        e = scratch.settle(small.where("u <> v").distinct())
+        e = scratch.settle(small.where("u <> v").distinct(), rows=2 * now[0])
 
 
 def _fits(percent: int) -> str:
@@ -443,7 +443,8 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     # sh: rank of a shared shingle among those of its node
     rank = F.row_number().over(Window.partitionBy("node").orderBy("pos"))
     ranked = shared.select("token", "node", F.expr(_SIZE).alias("n"), F.expr(_WANT).alias("l"), F.expr(_POS).alias("pos"), "pivot", "pivot_meta")
-    ranked = scratch.settle(ranked.withColumn("sh", rank).where(f"100 * (sh + n - 1 - pos) >= {percent} * n"))
+    n_shared = shared.count()
+    ranked = scratch.settle(ranked.withColumn("sh", rank).where(f"100 * (sh + n - 1 - pos) >= {percent} * n"), rows=n_shared)
 
     # pivots of salted lists: of all nodes of the shingle, the one that comes first
     salted = ranked.where("pivot is null")
@@ -461,10 +462,10 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    links = _verified(only, scratch.settle(_promising(near, sigs, percent)), percent, scratch)
+    links = _verified(only, scratch.settle(_promising(near, sigs, percent), rows=n_shared), percent, scratch)
     roots = components(links, scratch)
 
-    placed = scratch.settle(ranked.drop("pivot", "pivot_meta").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    placed = scratch.settle(ranked.drop("pivot", "pivot_meta").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), rows=n_shared)
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     past = F.expr(f"pos - n + ({percent} * n + 99) div 100").alias("past")  # must be less than l
     side = placed.join(mixed, "token", "left_semi").select("token", "node", "root", "n", "pos", "sh", "l", past)
@@ -481,7 +482,7 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
         .where("matches >= l")
         .select("a", "b")
     )
-    more = _verified(only, scratch.settle(_promising(rest, sigs, percent)), percent, scratch)
+    more = _verified(only, scratch.settle(_promising(rest, sigs, percent), rows=n_shared), percent, scratch)
     labels = components(links.union(more), scratch)
 
     filled = info.where("n > 0")
@@ -491,7 +492,7 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     out = filled.join(label, "node").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "root", "node")
     none = F.lit(None).cast("long")
     empty = info.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), none.alias("root"), none.alias("node"))
-    result = settle(out.union(empty))
+    result = settle(out.union(empty), rows=info.count())
     scratch.clear()
     return result
 

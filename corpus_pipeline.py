@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of least doc_id."""
-    return ngram_join.one_of_each(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one of least doc_id."""
+    return ngram_join.one_of_each(docs, percent=80, size=5)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of hashes of its three-word shingles.  Two documents
-link when the Jaccard similarity of their sets is at least ``percent``/100;
-the join returns the connected components of the link graph.
+A document is the set of hashes of its shingles of ``size`` words.  Two
+documents link when the Jaccard similarity of their sets is at least
+``percent``/100; the join returns the connected components of the link graph.
 
 Prefix filter.  All sets are ordered by one global order: by estimated
 frequency, then by hash.  With l = 1, 2, ... the first n - ceil(t n) + l shingles of both
@@ -41,7 +41,7 @@ have in common, so pairs below their least overlap go before texts are moved.
 Verification compares whole shingle sets; no candidate is dropped or capped.
 
 Defined results: texts that are null or without words have no shingles and are
-alone; one or two words are one shingle; rows with equal texts share a
+alone; fewer words than a shingle has are one shingle; rows with equal texts share a
 component whatever their ids; null ids count as the largest; very long texts
 are read whole; extra columns are ignored; an empty table gives no rows.
 """
@@ -126,13 +126,13 @@ def _cells(shingles: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """First reading: a row per document, and this task's share of the sketch."""
     sketch = np.zeros((SKETCH_ROWS, SKETCH_CELLS), dtype=np.int64)
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
         for piece in chunks(batch):
-            sets = shingle_sets(piece.column("text"))
+            sets = shingle_sets(piece.column("text"), size)
             if any(len(s) for s in sets):
                 for row, cells in zip(sketch, _cells(np.concatenate(sets)), strict=True):
                     row += np.bincount(cells, minlength=SKETCH_CELLS)
@@ -222,13 +222,13 @@ _WANT = "shiftright(meta, 28) & 15"
 _POS = f"meta & {(1 << 28) - 1}"
 
 
-def _postings(batches: Iterator[pa.RecordBatch], sketch: Sketch, percent: int) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], sketch: Sketch, percent: int, size: int) -> Iterator[pa.RecordBatch]:
     """Second reading: prefix postings of each node that this task has not met yet."""
     seen: set[int] = set()
     for batch in batches:
         for piece in chunks(batch):
             tokens, nodes, metas = [], [], []
-            for s in shingle_sets(piece.column("text")):
+            for s in shingle_sets(piece.column("text"), size):
                 n = len(s)
                 node = node_of(s) if n else None
                 if node is None or node in seen:
@@ -309,13 +309,13 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
 
 
-def _texts(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], bits: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
     """The texts of nodes that pass the filter, each once per task."""
     seen: set[int] = set()
     for batch in batches:
         for piece in chunks(batch):
             nodes, keep = [], []
-            for i, s in enumerate(shingle_sets(piece.column("text"))):
+            for i, s in enumerate(shingle_sets(piece.column("text"), size)):
                 node = node_of(s) if len(s) else None
                 if node is None or node in seen:
                     continue
@@ -330,14 +330,14 @@ def _texts(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.R
                 )
 
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in chunks(batch, "text_b", 1 << 20):
             nodes, sets = {}, {}
             for side in "ab":
                 nodes[side] = piece.column(side).to_numpy(zero_copy_only=False)
                 own, at = np.unique(nodes[side], return_index=True)
-                sets[side] = dict(zip(own.tolist(), shingle_sets(piece.column(f"text_{side}").take(pa.array(at))), strict=True))
+                sets[side] = dict(zip(own.tolist(), shingle_sets(piece.column(f"text_{side}").take(pa.array(at)), size), strict=True))
             links = []
             for i, (a, b) in enumerate(zip(nodes["a"].tolist(), nodes["b"].tolist(), strict=True)):
                 x, y = sets["a"][a], sets["b"][b]
@@ -348,7 +348,7 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_pydict({side: nodes[side][links] for side in "ab"})
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
     """Those of the node pairs (a, b) whose sets link."""
     sc = docs.sparkSession.sparkContext
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -356,13 +356,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch)
     for row in ends.coalesce(16).mapInArrow(_bitmap, "bits binary").collect():  # sixteen maps of fixed size
         bits |= np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
     sent = sc.broadcast(bits)
-    texts = docs.mapInArrow(lambda it: _texts(it, sent.value), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+    texts = docs.mapInArrow(lambda it: _texts(it, sent.value, size), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
     both = (
         pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    return scratch.settle(both.mapInArrow(lambda it: _verify(it, percent), "a long, b long"), rows=20 * pairs.count())
+    return scratch.settle(both.mapInArrow(lambda it: _verify(it, percent, size), "a long, b long"), rows=20 * pairs.count())
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -414,7 +414,7 @@ def _fits(percent: int) -> str:
     )
 
 
-def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_components(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (least doc_id reachable by links) of each document.
 
     ``root`` names the component and ``node`` the shingle set also where ids are null or repeat (both null for empty sets).
@@ -422,7 +422,7 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     spark = docs.sparkSession
     scratch = Scratch(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    read = scratch.settle(slim.mapInArrow(_read, "id long, n long, node long, sig binary, part int, counts binary"))
+    read = scratch.settle(slim.mapInArrow(lambda it: _read(it, size), "id long, n long, node long, sig binary, part int, counts binary"))
     info = read.where("part is null").select("id", "n", "node")
     counts = np.zeros((_SKETCH_PARTS, SKETCH_ROWS * SKETCH_CELLS // _SKETCH_PARTS), dtype=np.int64)
     parts = read.where("part is not null").select("part", "counts").repartition(_SKETCH_PARTS, "part")
@@ -434,7 +434,7 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
 
     only = slim.select("text")
     postings = (
-        only.mapInArrow(lambda it: _postings(it, sketch.value, percent), "token long, node long, meta long")
+        only.mapInArrow(lambda it: _postings(it, sketch.value, percent, size), "token long, node long, meta long")
         .repartition("token", F.expr(_SALT))
         .sortWithinPartitions("token", F.expr(_SALT), F.expr(_POS), F.xxhash64("node", F.col("token") % 3), "node")
     )
@@ -462,7 +462,7 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    links = _verified(only, scratch.settle(_promising(near, sigs, percent), rows=n_shared), percent, scratch)
+    links = _verified(only, scratch.settle(_promising(near, sigs, percent), rows=n_shared), percent, size, scratch)
     roots = components(links, scratch)
 
     placed = scratch.settle(ranked.drop("pivot", "pivot_meta").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), rows=n_shared)
@@ -482,7 +482,7 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
         .where("matches >= l")
         .select("a", "b")
     )
-    more = _verified(only, scratch.settle(_promising(rest, sigs, percent), rows=n_shared), percent, scratch)
+    more = _verified(only, scratch.settle(_promising(rest, sigs, percent), rows=n_shared), percent, size, scratch)
     labels = components(links.union(more), scratch)
 
     filled = info.where("n > 0")
@@ -497,12 +497,12 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     return result
 
 
-def one_of_each(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component: that of least doc_id (nulls last, then by set, then any of equal rows).
 
     Texts without words are linked with nothing and all stay.
     """
-    groups = join_components(docs, percent=percent)
+    groups = join_components(docs, percent=percent, size=size)
     null_last = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("id"), "node")
     chosen = groups.where("root is not null").groupBy("root").agg(F.min(null_last).alias("c")).select(F.col("c.id").alias("id"), F.col("c.node").alias("node"))
     names = docs.columns
@@ -510,7 +510,7 @@ def one_of_each(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch):
-                nodes = [node_of(s) if len(s) else None for s in shingle_sets(piece.column("text"))]
+                nodes = [node_of(s) if len(s) else None for s in shingle_sets(piece.column("text"), size)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(nodes, pa.int64())], names=[*names, "__node"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)

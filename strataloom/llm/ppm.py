@@ -12,10 +12,14 @@ bytes never seen share the rest evenly.  Code lengths add up per document.
 A text is read as its tokens: words (A-Z lower-cased), a space between two
 words, and one end byte; contexts start with ends.
 
-All training texts are counted, on the executors; the trie keeps the context
-and byte pairs whose share of all positions is at least ``SHARE``, at every
-size of the corpus.  So each order has at most 1/SHARE pairs, which bounds
-what the driver collects and sends out.
+All training texts are counted, on the executors, and every counted pair of
+context and byte stays in the model.  The score of a byte depends on its window
+alone (the byte and the ``ORDER`` bytes before it), so each different window of
+the texts is scored once, where the trie's part for it lies: pairs of orders up
+to ``SHARED`` go to all tasks (their number is bounded by the alphabet), longer
+contexts are dealt by their last ``SHARED`` + 1 bytes.  The most frequent windows
+(at most ``TOP_WINDOWS``) are sent to all executors with their scores; the rest
+meet theirs in a join.
 
 The unigram base score needs each word's training count.  The most frequent
 words (at most ``TOP_WORDS``, by a count threshold) are sent to all executors;
@@ -41,7 +45,9 @@ from strataloom.llm.batches import LOWER, Words, chunks, eight, hash_spans, text
 from strataloom.llm.storage import Scratch, settle
 
 ORDER = 5
-SHARE = 2.0**-24
+#: Orders whose pairs all tasks have: at most 2**24 + 2**16 + 2**8 pairs for 2.
+SHARED = 2
+TOP_WINDOWS = 1 << 21
 TOP_WORDS = 1 << 19
 END = -1  # stands for the end token among word hashes
 _SPACE, _STOP = 0x20, 0x0A
@@ -262,28 +268,79 @@ def _grams(order: int) -> Callable[[Words], np.ndarray]:
     return items
 
 
-def train_trie(texts: DataFrame, *, order: int = ORDER, share: float = SHARE) -> Trie:
-    """Count all bytes in context of ``texts`` (a column ``text``) and build the trie."""
+def train_trie(texts: DataFrame, *, order: int = ORDER) -> Trie:
+    """The whole trie of ``texts`` (a column ``text``) on the driver; for small tables."""
     scratch = Scratch(texts.sparkSession)
     grams = scratch.settle(texts.mapInArrow(_counter(_grams(order)), "key long, count long").groupBy("key").agg(F.sum("count").alias("count")))
-    total = grams.agg(F.sum("count")).first()[0] or 0
-    shorter = F.array(*[F.struct(F.lit(o).alias("o"), F.shiftright("key", 8 * (order - o)).alias("k")) for o in range(order + 1)])
-    kept = (
-        grams.select(F.explode(shorter).alias("g"), "count")
-        .groupBy("g.o", "g.k")
-        .agg(F.sum("count").alias("count"))
-        .where(F.col("count") >= max(1.0, total * share))
-        .toArrow()  # at most 1 / share rows of each order
-    )
+    pairs = _collected(grams, order, order)
     scratch.clear()
+    return Trie(pairs, order)
+
+
+def _collected(grams: DataFrame, order: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs and counts of the orders up to ``most``."""
+    shorter = F.array(*[F.struct(F.lit(o).alias("o"), F.shiftright("key", 8 * (order - o)).alias("k")) for o in range(most + 1)])
+    kept = grams.select(F.explode(shorter).alias("g"), "count").groupBy("g.o", "g.k").agg(F.sum("count").alias("count")).toArrow()
     of, key, count = (kept.column(c).to_numpy() for c in ("o", "k", "count"))
-    del kept
     pairs = []
-    for o in range(order + 1):
+    for o in range(most + 1):
         mine = np.flatnonzero(of == o)
         mine = mine[np.argsort(key[mine])]
         pairs.append((key[mine].astype(np.int64).view(np.uint64), count[mine]))
-    return Trie(pairs, order)
+    return pairs
+
+
+def score_windows(training: DataFrame, others: DataFrame, scratch: Scratch, *, order: int = ORDER) -> DataFrame:
+    """``key``, ``n`` (occurrences) and ``score`` of each window of both tables' texts; trained on ``training``."""
+    count = _counter(_grams(order))
+    grams = training.mapInArrow(count, "key long, count long").select("key", "count", F.col("count").alias("n"))
+    unseen = others.mapInArrow(count, "key long, count long").select("key", F.lit(0).cast("long").alias("count"), F.col("count").alias("n"))
+    grams = scratch.settle(grams.union(unseen).groupBy("key").agg(F.sum("count").alias("count"), F.sum("n").alias("n")))
+    low = min(SHARED, order)
+    sent = training.sparkSession.sparkContext.broadcast(_collected(grams.where("count > 0"), order, low))
+    # contexts of the orders above low end alike within a group
+    ends = min(low + 1, order)
+    group = F.shiftright("key", 8 * (order - ends)).bitwiseAND((1 << (8 * ends)) - 1)
+    dealt = grams.withColumn("end", group).repartition("end").sortWithinPartitions("end", "key")
+
+    def scored(key: np.ndarray, times: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        pairs, known = list(sent.value), times > 0
+        for o in range(low + 1, order + 1):
+            names, of = np.unique(key[known] >> (8 * (order - o)), return_inverse=True)
+            pairs.append((names.view(np.uint64), np.bincount(of, weights=times[known], minlength=len(names))))
+        raw = np.ascontiguousarray(key.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : order + 1]).ravel()
+        score = Trie(pairs, order).score(raw, np.arange(len(key)) * (order + 1) + order)
+        return pa.RecordBatch.from_pydict({"key": key, "n": n, "score": score})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy() for c in ("end", "key", "count", "n")))
+            size += batch.num_rows
+            if size >= _GATHER:
+                end, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(end, end[-1]))  # the last group may go on
+                if cut:
+                    yield scored(*(x[:cut] for x in rest))
+                held, size = [(end[cut:], *(x[cut:] for x in rest))], len(end) - cut
+        if size:
+            _, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield scored(*rest)
+
+    return scratch.settle(dealt.mapInArrow(run, "key long, n long, score double"))
+
+
+def _least_count(table: DataFrame, column: str, room: int) -> tuple[int | None, bool]:
+    """The least count such that at most ``room`` rows have it or more (None if no such rows), and if these are all rows."""
+    least = None
+    # counts differ in at most sqrt(2 n) values
+    for r in table.groupBy(column).agg(F.count("*").alias("rows")).orderBy(F.desc(column)).collect():
+        room -= r.rows
+        if room < 0:
+            return least, False
+        least = r[column]
+    return least, True
 
 
 class TopWords:
@@ -296,7 +353,7 @@ class TopWords:
         return at >= 0, self.counts[np.maximum(at, 0)] if len(self.counts) else np.zeros(len(at), dtype=np.int64)
 
 
-def score_documents(docs: DataFrame, held_out: Column, *, order: int = ORDER, share: float = SHARE, top_words: int = TOP_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, *, order: int = ORDER, top_words: int = TOP_WORDS, top_windows: int = TOP_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on the rows that are not held out and score all rows.
 
     Returns ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``,
@@ -310,25 +367,22 @@ def score_documents(docs: DataFrame, held_out: Column, *, order: int = ORDER, sh
     counts = scratch.settle(training.mapInArrow(_counter(_tokens), "key long, count long").groupBy("key").agg(F.sum("count").alias("count")))
     facts = counts.agg(F.sum("count").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("key") == END, F.col("count"))).alias("ends")).first()
     n, v, ends = facts.n or 0, facts.v or 0, facts.ends or 0
-    # counts differ in at most sqrt(2 n) values
-    steps = counts.groupBy("count").agg(F.count("*").alias("words")).orderBy(F.desc("count")).collect()
-    room, least = top_words, None
-    for r in steps:
-        room -= r.words
-        if room < 0:
-            break
-        least = r["count"]
+    least, all_frequent = _least_count(counts, "count", top_words)
     frequent = counts.where(F.col("count") >= (least if least is not None else 1 << 62))
     got = frequent.toArrow()
     top = TopWords(got.column("key").to_numpy().astype(np.int64), got.column("count").to_numpy().astype(np.int64))
     del got
-    trie = train_trie(training, order=order, share=share)
-    sent = spark.sparkContext.broadcast((top, trie))
+    windows = score_windows(training, slim.where("held_out").select("text"), scratch, order=order)
+    least_n, all_windows = _least_count(windows, "n", top_windows)
+    got = windows.where(F.col("n") >= (least_n if least_n is not None else 1 << 62)).select("key", "score").toArrow()  # at most top_windows rows
+    sent = spark.sparkContext.broadcast((top, Index(got.column("key").to_numpy().astype(np.int64).view(np.uint64), True), got.column("score").to_numpy()))
+    del got
     whole = float(np.log10(n + v + 1))
-    all_frequent = room >= 0
+    mask = np.uint64((1 << (8 * order + 8)) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, model = sent.value
+        words_of, index, scores = sent.value
+        scores = np.append(scores, 0.0)  # the last answers for windows that are not frequent (-1)
         met: set[int] = set()
         for batch in batches:
             for part in chunks(batch, limit=_CHUNK):
@@ -340,32 +394,39 @@ def score_documents(docs: DataFrame, held_out: Column, *, order: int = ORDER, sh
                 known = np.bincount(k[found], minlength=rows)[:rows] + (ends > 0)
                 n_tokens = words.counts + 1
                 base = base + np.log10(ends + 1.0) - n_tokens * whole
-                raw, position, first = token_bytes(words, model.order)
-                score = np.add.reduceat(model.score(raw, position), first[:-1])
-                keys, rare, times = [], [], []
+                raw, position, first = token_bytes(words, order)
+                window = eight(raw)[position - order] & mask
+                at = index.find(window)
+                score = np.add.reduceat(scores[at], first[:-1])
+                keys, rare, times, far, far_times = [], [], [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
                     key = int.from_bytes(hashlib.blake2b((text or "").encode(), digest_size=8).digest(), "little", signed=True)
                     keys.append(key)
                     a, b = words.first[i], words.first[i + 1]
                     mine = hashes[a:b][~found[a:b]] if not all_frequent and key not in met else hashes[:0]
+                    lone = window[first[i] : first[i + 1]][at[first[i] : first[i + 1]] < 0] if not all_windows and key not in met else window[:0]
                     met.add(key)
                     w, c = np.unique(mine, return_counts=True)
                     rare.append(w if len(w) else None)
                     times.append(c.astype(np.int32) if len(w) else None)
+                    w, c = np.unique(lone.view(np.int64), return_counts=True)
+                    far.append(w if len(w) else None)
+                    far_times.append(c.astype(np.int32) if len(w) else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"), part.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
                         pa.array(score, pa.float64()), pa.array(np.diff(first), pa.int64()), pa.array(keys, pa.int64()),
                         pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())),
+                        pa.array(far, pa.list_(pa.int64())), pa.array(far_times, pa.list_(pa.int32())),
                     ],
-                    names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes", "key", "rare", "times"],
+                    names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes", "key", "rare", "times", "far", "far_times"],
                 )
 
     id_type = docs.schema[id_col].dataType.simpleString()
     scored = scratch.settle(
         slim.mapInArrow(
             run,
-            f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, key long, rare array<long>, times array<int>",
+            f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, key long, rare array<long>, times array<int>, far array<long>, far_times array<int>",
         )
     )
     # the words that are not frequent, once for each task that met the text
@@ -379,7 +440,21 @@ def score_documents(docs: DataFrame, held_out: Column, *, order: int = ORDER, sh
         .join(tasks, "key")
         .select("key", (F.col("more") / F.col("tasks")).cast("long").alias("more"), (F.col("gain") / F.col("tasks")).alias("gain"))
     )
-    done = scored.drop("rare", "times").join(tail, "key", "left")
+    far = scored.where("far is not null").select("key", F.explode(F.arrays_zip("far", "far_times")).alias("r")).select("key", F.col("r.far").alias("window"), "r.far_times")
+    far_tasks = scored.where("far is not null").groupBy("key").agg(F.count("*").alias("tasks"))
+    seldom_windows = windows if least_n is None else windows.where(F.col("n") < least_n)
+    far_tail = (
+        far.join(seldom_windows.select(F.col("key").alias("window"), F.col("score").alias("each")), "window")
+        .groupBy("key")
+        .agg(F.sum(F.col("far_times") * F.col("each")).alias("rest"))
+        .join(far_tasks, "key")
+        .select("key", (F.col("rest") / F.col("tasks")).alias("rest"))
+    )
+    done = scored.drop("rare", "times", "far", "far_times").join(tail, "key", "left")
+    if not all_windows:
+        done = done.join(far_tail, "key", "left")
+    else:
+        done = done.withColumn("rest", F.lit(0.0))
     result = settle(
         done.select(
             F.col("id").alias(id_col),
@@ -388,7 +463,7 @@ def score_documents(docs: DataFrame, held_out: Column, *, order: int = ORDER, sh
             (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
             F.lit(n).cast("long").alias("train_tokens"),
             (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
-            "score",
+            (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
             "n_bytes",
         )
     )

@@ -1,9 +1,12 @@
 """Cases that shortened versions of the operators got wrong."""
 
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from strataloom.llm import ppm
 from tests.conftest import SMALL
 from tests.llm.test_corpus_operators import LOW, words
 
@@ -56,3 +59,21 @@ def test_near_copy_stage_equals_all_pairs(spark, seed):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(r.doc_id for r in cp.drop_near_copies(spark, docs, SMALL).collect())
     assert got == sorted(set(five_word_groups(rows).values()))
+
+
+def test_rare_pairs_stay_in_a_large_model(spark):
+    text = F.when(F.col("doc_id") < 51, F.repeat(F.lit("ab "), 350_000)).otherwise("zyxwvutsrq")
+    docs = spark.range(55).withColumnRenamed("id", "doc_id").withColumn("text", text)
+    got = {r.doc_id: r for r in ppm.score_documents(docs, F.col("doc_id") == 54).collect()}
+    assert got[54].held_out and got[54].n_bytes == 11
+    # seen three times among 53 million bytes: each byte costs little; unseen ones cost more than two digits each
+    assert got[54].score > -11
+
+
+def test_windows_that_are_not_sent_score_alike(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 60")
+    docs = docs.union(docs.where("doc_id < 5"))
+    one, two, three = ([(r.doc_id, r.score) for r in ppm.score_documents(docs, F.col("doc_id") % 7 == 2, top_windows=n).orderBy("doc_id").collect()] for n in (1 << 21, 300, 0))
+    assert len(one) == len(two) == len(three) > 0
+    for a, b, c in zip(one, two, three, strict=True):
+        assert a[0] == b[0] == c[0] and math.isclose(a[1], b[1], rel_tol=1e-9) and math.isclose(a[1], c[1], rel_tol=1e-9)

@@ -78,7 +78,7 @@ def _cases(s: S, d: str) -> D:
 
 @query
 def x1_runs(s: S, d: str) -> D:
-    return runtime.execute(_cases(s, d), max_steps=60).select("program", "case_id", "steps", "timed_out", F.size("state").alias("n_vars"))
+    return runtime.execute(_cases(s, d), max_steps=500).select("program", "case_id", "steps", "timed_out", F.size("state").alias("n_vars"))
 
 
 @query
@@ -88,7 +88,7 @@ def x4_mutations(s: S, d: str) -> D:
     mutants = runtime.mutations(control_flow.nodes(_parsed(s, d)), sources).withColumn("overrides", F.lit("{}"))
     mutants = storage.settle(mutants)
     base = mutants.select("program", "case_id", "overrides").join(sources, "program")
-    return runtime.compare_runs(runtime.execute(base, max_steps=60), runtime.execute(mutants, max_steps=60))
+    return runtime.compare_runs(runtime.execute(base, max_steps=100), runtime.execute(mutants, max_steps=100))
 
 
 @query
@@ -96,7 +96,7 @@ def x5_equivalence(s: S, d: str) -> D:
     """Programs against a candidate with the limit test moved, over three cases."""
     base = _cases(s, d)
     other = base.withColumn("source", F.replace("source", F.lit("ADD 10 TO"), F.lit("ADD 11 TO")))
-    runs = runtime.compare_runs(runtime.execute(base, max_steps=60), runtime.execute(other, max_steps=60))
+    runs = runtime.compare_runs(runtime.execute(base, max_steps=500), runtime.execute(other, max_steps=500))
     return runs.groupBy("program").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "PASS").alias("passed"), F.round(F.avg((F.col("status") == "PASS").cast("int")), 6).alias("rate"))
 
 

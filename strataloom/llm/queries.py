@@ -10,6 +10,7 @@ from strataloom.llm import licenses
 
 #: Where public tokenizer files lie unless a caller passes a path.
 TOKENIZER = "piece_bpe_32k.model"
+PAIRS = "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -83,9 +84,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataloom.llm.fertility import measure_documents
+    from strataloom.llm.fertility import judge_documents
 
-    return measure_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return judge_documents(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PAIRS)).drop("lang", "text_key")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,9 @@ pieces only as a prefix run, a newline stands in no longer piece, and some
 punctuation marks never stand next to a letter in a piece.  No merge can cross
 such a border, so a text's ids are the concatenation of its fragments' ids,
 and a worker keeps the fragments that it has already merged in two bounded
-generations.  Every fragment that is merged anew is checked, in one call per
-Arrow batch, against the sentencepiece library; a difference stops the job.
+generations.  Each Arrow batch is checked against the sentencepiece library:
+the ids and the decoded form of whole texts, so that a wrong border shows as
+well as a wrong merge.  A difference stops the job.
 
 Defined results: null and empty texts have no ids and decode to the empty
 text; very long texts need memory in proportion to their own length; repeated
@@ -25,7 +26,6 @@ import hashlib
 import heapq
 import re
 import string
-from array import array
 from collections.abc import Iterator
 from operator import add
 from typing import Any
@@ -40,6 +40,10 @@ from strataloom.llm.batches import chunks
 MARK = "▁"
 #: Fragments of one cache generation; two are kept per Python worker.
 GENERATION = 400_000
+#: Characters from which the library reads a text in slices that are cut before a space mark.
+LONG = 1 << 20
+#: What stands for a letter, in the vocabulary's facts and in the cutting pattern alike.
+LETTER = r"[^\W\d_]"
 
 
 class PieceModel:
@@ -68,14 +72,24 @@ class PieceModel:
         if len(byte_id) != 256:
             raise ValueError("the vocabulary has no byte fallback")
         self.byte_id = [byte_id[b] for b in range(256)]
-        inside = {pair for piece in self.rank for pair in zip(piece, piece[1:], strict=False)}
-        by_letter = {c for a, b in inside for c, other in ((a, b), (b, a)) if other.isalpha()}
-        self.fragment = _fragment_pattern("".join(c for c in string.punctuation if c not in by_letter))
-        self.is_byte = np.array([b is not None for b in self.bytes_at], dtype=bool)
+        self.fragment = _fragment_pattern(*self._borders())
         for probe in (" a  b ", "Ａﬁ", "\t"):
             if lib.decode(lib.encode(probe)) != probe:
                 raise ValueError("the model's normaliser changes texts; only the identity is supported")
 
+    def _borders(self) -> tuple[str, str]:
+        """Punctuation marks, and signs that match LETTER without being letters; no piece holds one of the marks beside any other match of LETTER.
+
+        Such signs (a raised two, a fraction) are kept out of the letters when
+        a piece joins one with a mark; a mark that a piece joins with any
+        remaining match is no border.
+        """
+        letter = re.compile(LETTER).match
+        beside = {(a, b) for piece in self.rank for p in zip(piece, piece[1:], strict=False) for a, b in (p, p[::-1]) if a in string.punctuation and letter(b)}
+        signs = {b for _, b in beside if not b.isalpha()}
+        joined = {a for a, b in beside if b not in signs}
+        return "".join(c for c in string.punctuation if c not in joined), "".join(sorted(signs))
+
     def merge(self, fragment: str) -> list[int]:
         """Ids of one fragment, by the agenda of adjacent pairs."""
         symbols: list[str] = list(fragment)
@@ -136,73 +150,94 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
-def _fragment_pattern(marks: str) -> re.Pattern[str]:
-    """Newlines; letters up to one of ``marks``, those up to a letter; else all up to the next space mark."""
+def _fragment_pattern(marks: str, signs: str) -> re.Pattern[str]:
+    """Newlines; letters up to one of ``marks``, those up to a letter; else all up to the next space mark. ``signs`` are no letters."""
     whole = f"\n|{MARK}*[^{MARK}\n]+|{MARK}+"
     if not marks:
         return re.compile(whole)
-    m, letter, border = re.escape(marks), r"[^\W\d_]", rf"{MARK}\n"
+    m, border = re.escape(marks), rf"{MARK}\n"
+    letter = f"[^\\W\\d_{re.escape(signs)}]"
     return re.compile(rf"{MARK}*{letter}++(?=[{m}{border}]|\Z)|{MARK}*[{m}]++(?={letter}|[{border}]|\Z)|{whole}")
 
 
 class _Memo(dict):
-    """fragment -> (ids joined by commas, marked text), or its ids as int32 bytes."""
+    """fragment -> (ids joined by commas, marked text)."""
 
     def __init__(self, coder: FragmentCoder):
         super().__init__()
         self.coder = coder
 
-    def __missing__(self, fragment: str) -> tuple[str, str] | bytes:
+    def __missing__(self, fragment: str) -> tuple[str, str]:
         value = self.coder.old.get(fragment)
         if value is None:
             model = self.coder.model
             ids = model.merge(fragment)
-            self.coder.fresh.append((fragment, ids))
-            if self.coder.packed:
-                value = array("i", ids).tobytes()
-            else:
-                marked = model.join_pieces(ids)
-                value = (",".join(map(str, ids)), fragment if marked == fragment else marked)
+            marked = model.join_pieces(ids)
+            value = (",".join(map(str, ids)), fragment if marked == fragment else marked)
         self[fragment] = value
         return value
 
 
 class FragmentCoder:
-    """Encodes texts by way of remembered fragments; ``settle`` checks the new ones and bounds the memory."""
+    """Encodes texts by way of remembered fragments; ``check`` holds them against the library and bounds the memory."""
 
-    def __init__(self, model: PieceModel, generation: int = GENERATION, packed: bool = False):
-        self.model, self.generation, self.packed = model, generation, packed
-        self.old: dict[str, tuple[str, str] | bytes] = {}
-        self.fresh: list[tuple[str, list[int]]] = []
+    def __init__(self, model: PieceModel, generation: int = GENERATION):
+        self.model, self.generation = model, generation
+        self.old: dict[str, tuple[str, str]] = {}
         self.memo = _Memo(self)
 
-    def encode(self, text: str) -> list[tuple[str, str] | bytes]:
-        """The fragments of a text, with the leading space mark that the library adds."""
+    def encode(self, text: str) -> tuple[str, str]:
+        """Decimal ids of a text joined by commas, and its decoded form."""
         found = self.model.fragment.findall(MARK + text.replace(" ", MARK)) if text else []
-        return list(map(self.memo.__getitem__, found))
-
-    def settle(self) -> None:
-        """Compare the fragments merged since the last call with the library's ids."""
-        if self.fresh:
-            lead = self.model.library.encode("\n")  # a newline joins with nothing: a lead that is cut off again
-            theirs = self.model.library.encode(["\n" + f for f, _ in self.fresh], num_threads=1)
-            for (fragment, ids), got in zip(self.fresh, theirs, strict=True):
-                if got[len(lead) :] != ids:
-                    raise AssertionError(f"agenda and library differ on {fragment!r}: {ids} and {got[len(lead):]}")
-            self.fresh.clear()
+        known = list(map(self.memo.__getitem__, found))
+        return ",".join([x[0] for x in known]), "".join([x[1] for x in known]).replace(MARK, " ")[1:]
+
+    def check(self, texts: list[str], coded: list[tuple[str, str]]) -> None:
+        """Stop if the library's ids or decoded form of any of ``texts`` differ from ``coded``."""
+        lib = self.model.library
+        short = [t for t in texts if len(t) <= LONG]
+        ids = lib.encode(short, num_threads=1) if short else []
+        plain = lib.decode(ids, num_threads=1) if short else []
+        theirs = zip(ids, plain, strict=True)
+        for text, (mine, decoded) in zip(texts, coded, strict=True):
+            if len(text) <= LONG:
+                got, said = next(theirs)
+            else:
+                got, said = [i for part in _slices(text) for i in self._slice(part)], text.replace(MARK, " ")
+            if ",".join(map(str, got)) != mine or said != decoded:
+                raise AssertionError(f"agenda and library differ on a text of {len(text)} characters that starts with {text[:80]!r}")
         if len(self.memo) > self.generation:
             self.old, self.memo = dict(self.memo), _Memo(self)
 
+    def _slice(self, marked: str) -> list[int]:
+        """The library's ids of a marked slice: behind a newline, which joins with nothing and is cut off again."""
+        lib = self.model.library
+        return lib.encode("\n" + marked)[len(lib.encode("\n")) :]
+
+
+def _slices(text: str, size: int = LONG) -> Iterator[str]:
+    """The marked text in slices of about ``size``, cut before runs of space marks, where no piece reaches across."""
+    marked = MARK + text.replace(" ", MARK)
+    at = 0
+    while at < len(marked):
+        to = marked.find(MARK, at + size)
+        while to > at and marked[to - 1] == MARK:
+            to -= 1
+        if to <= at:
+            to = len(marked)
+        yield marked[at:to]
+        at = to
+
 
-_LOADED: dict[tuple[bytes, bool], FragmentCoder] = {}
+_LOADED: dict[bytes, FragmentCoder] = {}
 
 
-def coder(model: bytes, packed: bool = False) -> FragmentCoder:
-    """This worker's coder for a model, kept between tasks; ``packed`` remembers ids as bytes, else as text."""
-    key = (hashlib.sha256(model).digest(), packed)
+def coder(model: bytes) -> FragmentCoder:
+    """This worker's coder for a model, kept between tasks."""
+    key = hashlib.sha256(model).digest()
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = FragmentCoder(PieceModel(model), packed=packed)
+        _LOADED[key] = FragmentCoder(PieceModel(model))
     return _LOADED[key]
 
 
@@ -231,17 +266,16 @@ def encode_documents(
         for batch in batches:
             for part in chunks(batch):
                 rows: dict[str, list[Any]] = {k: [] for k in ("n", "ids", "dec", "list", "text")}
-                for text in part.column("text").to_pylist():
-                    found = one.encode(text or "")
-                    joined = ",".join([x[0] for x in found])
-                    text = "".join([x[1] for x in found]).replace(MARK, " ")[1:]
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                coded = [one.encode(t) for t in texts]
+                one.check(texts, coded)
+                for joined, text in coded:
                     rows["n"].append(joined.count(",") + 1 if joined else 0)
                     rows["ids"].append(hashlib.sha256(joined.encode()).hexdigest())
                     rows["dec"].append(hashlib.sha256(text.encode()).hexdigest())
                     if with_ids:
                         rows["list"].append(np.array(joined.split(","), dtype=np.int32) if joined else np.zeros(0, dtype=np.int32))
                         rows["text"].append(text)
-                one.settle()
                 columns = {
                     id_col: part.column("id"),
                     "n_tokens": pa.array(rows["n"], pa.int64()),

@@ -1,14 +1,19 @@
 """Licences, personal data, fingerprints, pieces and fertility against plain versions."""
 
+import base64
+import copy
 import hashlib
 import random
 import re
+import string
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -155,30 +160,65 @@ def test_edits_and_neighbours(spark, odd, nothing):
 # pieces --------------------------------------------------------------------------
 
 
+@pytest.fixture(scope="module")
+def model():
+    return sentencepieces.PieceModel(sentencepieces.read_model(PATH))
+
+
+def same_as_library(one, text):
+    coded = one.encode(text)
+    ids = one.model.library.encode(text)
+    assert coded == (",".join(map(str, ids)), one.model.library.decode(ids)) and one.model.decode(ids) == coded[1]
+    one.check([text], [coded])
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(["a", " ", "  ", "\n", "▁", "é", " the", "\x00", "\U0001f600", "<s>", "中", "0", ".", "!!", ",", "'s", "ß."]), max_size=15).map("".join)))
+@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(["a", " ", "  ", "\n", "▁", "é", " the", "\x00", "\U0001f600", "<s>", "中", "0", ".", "!!", ",", "'s", "ß.", "²", "½"]), max_size=15).map("".join)))
 def test_pieces_equal_the_library(text):
-    one = sentencepieces.coder(sentencepieces.read_model(PATH))
-    text = text.encode("utf-8", "ignore").decode()
-    found = one.encode(text)
-    ids = [int(i) for f in found for i in f[0].split(",")]
-    assert ids == one.model.library.encode(text)
-    assert one.model.decode(ids) == one.model.library.decode(ids)
-    one.settle()
-
-
-def test_a_wrong_merge_is_noticed():
-    one = sentencepieces.FragmentCoder(sentencepieces.PieceModel(sentencepieces.read_model(PATH)))
-    one.fresh.append(("▁the", [1, 2, 3]))
+    same_as_library(sentencepieces.coder(sentencepieces.read_model(PATH)), text.encode("utf-8", "ignore").decode())
+
+
+@pytest.mark.parametrize("text", ["an area of 5 m². Next", "m².", " x².", "².", "", " ", "½.a", "x" * 3000 + "5."])
+def test_signs_beside_marks(model, text):
+    same_as_library(sentencepieces.FragmentCoder(model), text)
+
+
+def test_all_characters_of_pieces_and_numeral_signs(model):
+    one = sentencepieces.FragmentCoder(model)
+    chars = sorted({c for p in model.pieces for c in p} | {c for c in map(chr, range(0x30000)) if re.match(r"\w", c) and not c.isalpha() and not c.isdecimal()})
+    rng = random.Random(5)
+    for k in range(0, len(chars), 3):
+        near = [rng.choice(string.punctuation) + c + rng.choice(string.punctuation) + rng.choice(["", " ", "a", "\n", "7"]) + c for c in chars[k : k + 3]]
+        same_as_library(one, "".join(near))
+        same_as_library(one, "word" + " ".join(near))
+
+
+def test_a_wrong_merge_and_a_wrong_border_are_noticed(model):
+    one = sentencepieces.FragmentCoder(model)
+    one.memo["▁the"] = ("1,2,3", "▁the")
     with pytest.raises(AssertionError, match="differ"):
-        one.settle()
+        one.check(["see the"], [one.encode("see the")])
+    planted = copy.copy(model)
+    planted.fragment = re.compile("▁?[a-z]{1,3}|[^a-z]+")
+    one = sentencepieces.FragmentCoder(planted)
+    with pytest.raises(AssertionError, match="differ"):
+        one.check(["nothing"], [one.encode("nothing")])
+
+
+def test_long_texts_are_checked_in_slices(model, monkeypatch):
+    monkeypatch.setattr(sentencepieces, "LONG", 60)
+    one, rng = sentencepieces.FragmentCoder(model), random.Random(2)
+    for _ in range(60):
+        text = "".join(rng.choice("ab ²▁\n.") for _ in range(rng.randint(40, 400)))
+        assert [i for s in sentencepieces._slices(text, 60) for i in one._slice(s)] == model.library.encode(text)
+        one.check([text, "short"], [one.encode(text), one.encode("short")])
 
 
-def test_memory_of_fragments_is_bounded():
-    one = sentencepieces.FragmentCoder(sentencepieces.PieceModel(sentencepieces.read_model(PATH)), generation=10)
+def test_memory_of_fragments_is_bounded(model):
+    one = sentencepieces.FragmentCoder(model, generation=10)
     for i in range(30):
-        one.encode(f"w{i} x{i}")
-        one.settle()
+        t = f"w{i} x{i}"
+        one.check([t], [one.encode(t)])
     assert len(one.memo) <= 12 and len(one.old) <= 12
 
 
@@ -209,25 +249,81 @@ def plain_counts(x):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x)), dup, len(marked)
 
 
-def test_fertility_counts(spark, odd, nothing):
+PAIRS = queries.tokenizer_path(queries.PAIRS)
+
+
+def test_fertility_measures(spark, odd, nothing):
+    """Counts, measures and scripts of random and odd rows against plain versions."""
+    import sentencepiece
+
     rng = random.Random(3)
-    texts = ["".join(rng.choice(["a ", "b ", "ab ", "\n", "# ", "é", "\x0b", "<x> "]) for _ in range(rng.randint(0, 120))) for _ in range(150)]
+    texts = ["".join(rng.choice(["a ", "b ", "ab ", "\n", "# ", "é", "\x0b", "<x> ", "\u0250"]) for _ in range(rng.randint(0, 120))) for _ in range(150)]
     docs = odd.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string"))
     text = {r.doc_id: r.text or "" for r in docs.collect()}
-    for r in fertility.measure_documents(docs, PATH).collect():
+    lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    ranks = {base64.b64decode(x.split()[0]): int(x.split()[1]) for x in open(PAIRS, "rb")}
+    pairs = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in fertility.measure_documents(docs, PATH, PAIRS).collect():
+        t = text[r.doc_id]
         got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
-        assert got == plain_counts(text[r.doc_id])
-        assert r.base_failed == (got[0] < 50 or 100 * got[4] > 50 * got[0]) and not (r.kept and r.base_failed)
-    assert fertility.measure_documents(nothing, PATH).count() == 0
-
-
-def test_bands_reject_and_keep(spark):
+        assert got == plain_counts(t)
+        assert r.base_failed == (got[0] < 50 or 100 * got[4] > 50 * got[0])
+        pieces = lib.encode(t, out_type=str)
+        at_bytes = [p for p in pieces if re.fullmatch("<0x[0-9A-F]{2}>", p) and bytes([int(p[3:5], 16)]) not in b" \t\n\x0b\x0c\r"]
+        shares = np.array(list(Counter(pieces).values())) / max(1, len(pieces))
+        assert (r.n_tokens, r.n_byte_tokens, r.n_chars) == (len(pieces), len(at_bytes), len(t))
+        assert np.allclose([r.chars_per_token, r.byte_share, r.token_entropy], [len(t) / max(1, len(pieces)), len(at_bytes) / max(1, len(pieces)), -(shares * np.log2(shares)).sum()])
+        assert np.isclose(r.pair_chars_per_token, len(t) / max(1, len(pairs.encode_ordinary(t))))
+        if re.fullmatch(r"[a-zé\s]*[a-z][a-zé\s]*", t):
+            assert r.script == "latin"
+    assert fertility.judge_documents(nothing, PATH, PAIRS).count() == 0
+
+
+def plain_verdicts(rows, least_docs):
+    """Quartiles of different texts by language, then by script; a text outside the band of its group fails."""
+    def bands(group):
+        out = {}
+        for g in {r[group] for r in rows} - {None}:
+            texts = {(r["text_key"], r["lang"]): r for r in rows if r[group] == g and r["n_tokens"] >= 64}.values()
+            if len(texts) >= least_docs:
+                for m, (share, number) in fertility.LEAST_SPREAD.items():
+                    q = np.percentile([round(r[m] * 1000) for r in texts], [25, 50, 75]) / 1000
+                    s = max((q[2] - q[0]) / 1.349, share * q[1], number)
+                    out.setdefault(g, []).append((m, q[1] - 4.5 * s, q[1] + 4.5 * s))
+        return out
+
+    by_lang, by_script = bands("lang"), bands("script")
+    return [r["n_tokens"] >= 64 and any(not low <= r[m] <= high for m, low, high in by_lang.get(r["lang"]) or by_script.get(r["script"]) or []) for r in rows]
+
+
+def prose(rng, parts, n=200):
+    return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+
+def test_bands_reject_junk_and_keep_prose(spark):
     rng = random.Random(7)
-    prose = " ".join("".join(rng.choice(["pla", "ter", "ing", "con", "ver", "sal", "tion", "es", "ma", "di"]) for _ in range(rng.randint(1, 3))) for _ in range(200))
-    noise = "".join(chr(0x250 + (i * 37) % 80) + ("" if i % 9 else " ") for i in range(900))
-    docs = spark.createDataFrame([(1, prose), (2, noise)], "doc_id long, text string")
-    got = {r.doc_id: r for r in fertility.measure_documents(docs, PATH, bands={"latin": fertility.BANDS["latin"]}).collect()}
-    assert got[1].kept and got[1].script == "latin" and got[2].byte_share > got[1].byte_share
-    assert not {r.doc_id: r.kept for r in fertility.measure_documents(docs, PATH, bands={"latin": fertility.Band(entropy=(12.0, 14.0))}).collect()}[1]
+    en, fr = ["pla", "ter", "ing", "con", "ver", "sal", "tion", "es", "ma", "di"], ["eau", "ê", "ç", "tre", "mon", "é", "les", "ou"]
+    rows = [(i, prose(rng, en), "en") for i in range(80)] + [(100 + i, prose(rng, fr), "fr") for i in range(60)] + [(200 + i, prose(rng, en), None) for i in range(5)]
+    junk = [(300 + i, "".join(rng.choice("#|<>$%*&qzxkwv019 ") for _ in range(900)), "en") for i in range(6)]
+    junk += [(310, "".join(chr(0x250 + rng.randrange(80)) + ("" if i % 9 else " ") for i in range(900)), "fr"), (311, "the " * 300, "en"), (312, prose(rng, en), "fr"), (313, "\u4e2d\u6587" * 300, None)]
+    copies = [(400 + i, junk[0][1], "en") for i in range(150)]
+    docs = spark.createDataFrame(rows + junk + copies, "doc_id long, text string, lang string")
+    got = [r.asDict() for r in fertility.judge_documents(docs, PATH, PAIRS).collect()]
+    assert [r["band_failed"] for r in got] == plain_verdicts(got, 50)
+    failed = {r["doc_id"] for r in got if r["band_failed"]}
+    assert not failed & {r[0] for r in rows} and failed >= {r[0] for r in junk + copies} - {313}
+    assert all(r["kept"] == (not r["base_failed"] and not r["band_failed"]) for r in got)
+    by_script = fertility.judge_documents(docs.drop("lang"), PATH, PAIRS, least_docs=1000).where("band_failed")
+    assert by_script.count() == 0  # no group of so many texts: no band
+
+
+def test_bands_tell_labelled_quality_apart(spark):
+    """On the test tables the bands alone reject junk that the base rule passes, and hardly any good prose."""
+    judged = fertility.judge_documents(spark.read.parquet(f"{SMALL}/documents.parquet"), PATH, PAIRS).where("not base_failed")
+    share = {r.quality: r.share for r in judged.join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id").selectExpr("quality", "int(band_failed) b").groupBy("quality").agg({"b": "avg"}).withColumnRenamed("avg(b)", "share").collect()}
+    assert share[0] > 0.5 and share[1] < 0.02
+
+
+def test_entropies():
     ids, row = np.array([1, 1, 2, 3]), np.array([0, 0, 0, 1])
     assert np.allclose(fertility.entropies(ids, row, np.array([3, 1])), [-(2 / 3 * np.log2(2 / 3) + 1 / 3 * np.log2(1 / 3)), 0.0])

@@ -12,8 +12,9 @@ punctuation marks never stand next to a letter in a piece.  No merge can cross
 such a border, so a text's ids are the concatenation of its fragments' ids,
 and a worker keeps the fragments that it has already merged in two bounded
 generations.  Each Arrow batch is checked against the sentencepiece library:
-the ids and the decoded form of whole texts, so that a wrong border shows as
-well as a wrong merge.  A difference stops the job.
+the ids of every fragment that is new, every border (no piece of the library
+may hold the two characters side by side), and ids and decoded form of the
+whole text in every ``WHOLE``-th row.  A difference stops the job.
 
 Defined results: null and empty texts have no ids and decode to the empty
 text; very long texts need memory in proportion to their own length; repeated
@@ -27,7 +28,7 @@ import heapq
 import re
 import string
 from collections.abc import Iterator
-from operator import add
+from operator import add, itemgetter
 from typing import Any
 
 import numpy as np
@@ -40,6 +41,10 @@ from strataloom.llm.batches import chunks
 MARK = "▁"
 #: Fragments of one cache generation; two are kept per Python worker.
 GENERATION = 400_000
+#: Characters up to which a fragment is kept.
+KEPT = 200
+#: One row in so many is checked as a whole text.
+WHOLE = 16
 #: Characters from which the library reads a text in slices that are cut before a space mark.
 LONG = 1 << 20
 #: What stands for a letter, in the vocabulary's facts and in the cutting pattern alike.
@@ -72,6 +77,7 @@ class PieceModel:
         if len(byte_id) != 256:
             raise ValueError("the vocabulary has no byte fallback")
         self.byte_id = [byte_id[b] for b in range(256)]
+        self.inside = {pair for piece in self.rank for pair in zip(piece, piece[1:], strict=False)}
         self.fragment = _fragment_pattern(*self._borders())
         for probe in (" a  b ", "Ａﬁ", "\t"):
             if lib.decode(lib.encode(probe)) != probe:
@@ -85,7 +91,7 @@ class PieceModel:
         remaining match is no border.
         """
         letter = re.compile(LETTER).match
-        beside = {(a, b) for piece in self.rank for p in zip(piece, piece[1:], strict=False) for a, b in (p, p[::-1]) if a in string.punctuation and letter(b)}
+        beside = {(a, b) for p in self.inside for a, b in (p, p[::-1]) if a in string.punctuation and letter(b)}
         signs = {b for _, b in beside if not b.isalpha()}
         joined = {a for a, b in beside if b not in signs}
         return "".join(c for c in string.punctuation if c not in joined), "".join(sorted(signs))
@@ -160,21 +166,26 @@ def _fragment_pattern(marks: str, signs: str) -> re.Pattern[str]:
     return re.compile(rf"{MARK}*{letter}++(?=[{m}{border}]|\Z)|{MARK}*[{m}]++(?={letter}|[{border}]|\Z)|{whole}")
 
 
+Coded = tuple[str, str]  # ids joined by commas, marked text
+
+
 class _Memo(dict):
-    """fragment -> (ids joined by commas, marked text)."""
+    """fragment -> Coded, from the generation before or merged anew."""
 
-    def __init__(self, coder: FragmentCoder):
+    def __init__(self, coder: FragmentCoder, old: dict[str, Coded] | None = None):
         super().__init__()
-        self.coder = coder
+        self.coder, self.old = coder, old or {}
 
-    def __missing__(self, fragment: str) -> tuple[str, str]:
-        value = self.coder.old.get(fragment)
+    def __missing__(self, fragment: str) -> Coded:
+        value = self.old.get(fragment)
         if value is None:
             model = self.coder.model
             ids = model.merge(fragment)
             marked = model.join_pieces(ids)
             value = (",".join(map(str, ids)), fragment if marked == fragment else marked)
-        self[fragment] = value
+            self.coder.fresh.append((fragment, value[0]))
+        if len(fragment) <= KEPT:
+            self[fragment] = value
         return value
 
 
@@ -183,31 +194,47 @@ class FragmentCoder:
 
     def __init__(self, model: PieceModel, generation: int = GENERATION):
         self.model, self.generation = model, generation
-        self.old: dict[str, tuple[str, str]] = {}
         self.memo = _Memo(self)
+        self.fresh: list[tuple[str, str]] = []
+        self.borders: set[tuple[str, str]] = set()
+        self.sound: set[tuple[str, str]] = set()
+        self.rows = 0
 
     def encode(self, text: str) -> tuple[str, str]:
         """Decimal ids of a text joined by commas, and its decoded form."""
         found = self.model.fragment.findall(MARK + text.replace(" ", MARK)) if text else []
         known = list(map(self.memo.__getitem__, found))
+        self.borders.update(zip(map(itemgetter(-1), found), map(itemgetter(0), found[1:]), strict=False))
         return ",".join([x[0] for x in known]), "".join([x[1] for x in known]).replace(MARK, " ")[1:]
 
     def check(self, texts: list[str], coded: list[tuple[str, str]]) -> None:
-        """Stop if the library's ids or decoded form of any of ``texts`` differ from ``coded``."""
+        """Stop if the library differs on a fragment or border met since the last call, or on the whole text of every ``WHOLE``-th row."""
         lib = self.model.library
-        short = [t for t in texts if len(t) <= LONG]
-        ids = lib.encode(short, num_threads=1) if short else []
-        plain = lib.decode(ids, num_threads=1) if short else []
-        theirs = zip(ids, plain, strict=True)
-        for text, (mine, decoded) in zip(texts, coded, strict=True):
+        if self.fresh:
+            lead = len(lib.encode("\n"))  # a newline joins with nothing: a lead that is cut off again
+            theirs = lib.encode(["\n" + f for f, _ in self.fresh], num_threads=1)
+            for (fragment, mine), got in zip(self.fresh, theirs, strict=True):
+                if ",".join(map(str, got[lead:])) != mine:
+                    raise AssertionError(f"agenda and library differ on a fragment of {len(fragment)} characters that starts with {fragment[:80]!r}")
+            self.fresh.clear()
+        new = self.borders - self.sound
+        if new & self.model.inside:
+            raise AssertionError(f"pieces of the library reach across the borders {sorted(new & self.model.inside)[:5]}")
+        self.sound |= new
+        self.borders.clear()
+        for i in range(-self.rows % WHOLE, len(texts), WHOLE):
+            text = texts[i]
             if len(text) <= LONG:
-                got, said = next(theirs)
+                got = lib.encode(text)
+                same = lib.decode(got) == coded[i][1]
             else:
-                got, said = [i for part in _slices(text) for i in self._slice(part)], text.replace(MARK, " ")
-            if ",".join(map(str, got)) != mine or said != decoded:
+                got = [x for part in _slices(text) for x in self._slice(part)]
+                same = text.replace(MARK, " ") == coded[i][1]
+            if not same or ",".join(map(str, got)) != coded[i][0]:
                 raise AssertionError(f"agenda and library differ on a text of {len(text)} characters that starts with {text[:80]!r}")
+        self.rows += len(texts)
         if len(self.memo) > self.generation:
-            self.old, self.memo = dict(self.memo), _Memo(self)
+            self.memo = _Memo(self, dict(self.memo))
 
     def _slice(self, marked: str) -> list[int]:
         """The library's ids of a marked slice: behind a newline, which joins with nothing and is cut off again."""

@@ -58,7 +58,7 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw, offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, text: str | int = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about ``limit`` bytes of text each (one row at least)."""
     n = batch.num_rows
     if n == 0:

@@ -1,6 +1,7 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Each document is the set of its byte n-grams (A-Z lower-cased).  On labelled
+Each document is the set of its n-grams of 3, 5 and 7 characters (code points,
+A-Z lower-cased), known by 64-bit hashes.  On labelled
 rows the share of toxic and of clean documents that hold an n-gram gives its
 log-count ratio r; the n-grams that tell the classes apart best (by G-test)
 become features with value r, and an L2-regularised logistic regression over
@@ -8,8 +9,8 @@ them gives weights and a probability.
 
 Fitting reads a bounded sample of the labelled rows (``max_rows``, the rows
 with the smallest hashes of their ids); counting and choosing of n-grams run
-on the executors, only ``n_features`` n-grams and the sample's feature lists
-reach the driver.  Scoring reads every text whole, without a shuffle.
+on the executors, only ``n_features`` n-grams, a histogram of their scores and
+the sample's feature lists reach the driver.  Scoring reads every text whole, without a shuffle.
 
 Defined results: null and empty texts get the model's score for no features;
 very long texts are scored whole; ties between n-grams are broken by the
@@ -28,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.batches import LOWER, chunks, eight, text_buffer
-from strataloom.llm.storage import settle
+from strataloom.llm.batches import LOWER, chunks, mix, text_buffer
+from strataloom.llm.samples import lowest_hashes
+from strataloom.llm.storage import Scratch, map_rows
 
 ORDERS = (3, 5, 7)
 #: Labelled rows that a fit reads at most.
@@ -41,11 +43,13 @@ ALPHA = 1.0
 L2 = 0.5
 THRESHOLD = 0.7
 _SLOTS = 20
+_BINS = 64
+_K = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class ToxicModel:
-    """N-gram keys (sorted; each holds its bytes and, in the top byte, its order), weights times ratio, bias."""
+    """N-gram keys (sorted), weights times ratio, bias."""
 
     keys: np.ndarray
     weights: np.ndarray
@@ -64,12 +68,13 @@ class ToxicModel:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         slot = self._slots()
         found = []
-        for order, at, key in grams(raw, offsets, self.orders):
+        points, starts = code_points(raw, offsets)
+        for _, at, key in grams(points, starts, self.orders):
             near = np.flatnonzero(slot[_slot(key)])
             pos = np.searchsorted(self.keys, key[near])
             pos[pos == len(self.keys)] = 0
             hit = self.keys[pos] == key[near]
-            row = np.searchsorted(offsets, at[near[hit]], side="right") - 1
+            row = np.searchsorted(starts, at[near[hit]], side="right") - 1
             found.append(np.unique(row * n + pos[hit]))
         pair = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
         return pair // n, pair % n
@@ -88,14 +93,23 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)
 
 
-def grams(raw: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per order: start positions and keys of all n-grams that lie inside one row."""
-    lanes = eight(LOWER[raw])[: len(raw)]
-    room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(raw))
-    for order in orders:
-        at = np.flatnonzero(room >= order)
-        mask = np.uint64((1 << (8 * order)) - 1)
-        yield order, at, (lanes[at] & mask) | np.uint64(order << 56)
+def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a UTF-8 buffer (A-Z lower-cased) and the row offsets among them."""
+    lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    points = np.frombuffer(LOWER[raw].tobytes().decode("utf-8").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    return points, lead[offsets]
+
+
+def grams(points: np.ndarray, starts: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per order: start positions and keys (64-bit hashes) of all n-grams that lie inside one row."""
+    n = len(points)
+    room = np.repeat(starts[1:], np.diff(starts)) - np.arange(n)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(max(orders)):
+        h[: max(0, n - k)] = h[: max(0, n - k)] * _K + points[k:] + np.uint64(1)
+        if k + 1 in orders:
+            at = np.flatnonzero(room > k)
+            yield k + 1, at, mix(h[at] ^ np.uint64((k + 1) << 56))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, n_features: int = N_FEATURES, orders: tuple[int, ...] = ORDERS) -> ToxicModel:
@@ -106,10 +120,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, n_featu
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
+    scratch = Scratch(docs.sparkSession)
+    try:
+        return _fit(docs, clean, scratch, max_rows, n_features, orders)
+    finally:
+        scratch.clear()
+
+
+def _fit(docs: DataFrame, clean: DataFrame, scratch: Scratch, max_rows: int, n_features: int, orders: tuple[int, ...]) -> ToxicModel:
     # the bound makes this side small enough to send everywhere: max_rows rows of two numbers
-    chosen = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    chosen = settle(chosen)
-    sample = settle(
+    chosen = scratch.settle(lowest_hashes(clean, "doc_id", max_rows))
+    sample = scratch.settle(
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
         .join(F.broadcast(chosen), "doc_id")
         .select((F.col("toxic") > 0).cast("int").alias("toxic"), "text")
@@ -135,7 +156,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, n_featu
 
     both, neither = p + n, F.lit(float(n_rows)) - p - n
     g = term(p, positive, both) + term(n, negative, both) + term(positive - p, positive, neither) + term(negative - n, negative, neither)
-    top = counts.withColumn("g", g).orderBy(F.desc("g"), "key").limit(n_features).select("key", "pos", "neg").toArrow()
+    scored = scratch.settle(counts.select("key", "pos", "neg", g.alias("g"), F.floor(F.log2(F.greatest(g, F.lit(0.0)) + 1) * _BINS).cast("int").alias("bin")))
+    # the bins that hold the best n_features, so that few more than those are ordered in one place
+    seen, least = 0, 0
+    for r in scored.groupBy("bin").count().orderBy(F.desc("bin")).collect():  # some 64 bins for each doubling of a score
+        seen, least = seen + r["count"], r["bin"]
+        if seen >= n_features:
+            break
+    top = scored.where(F.col("bin") >= least).orderBy(F.desc("g"), "key").limit(n_features).select("key", "pos", "neg").toArrow()
     keys = top.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys = keys[order]
@@ -156,12 +184,12 @@ def _count(batches: Iterator[pa.RecordBatch], orders: tuple[int, ...]) -> Iterat
     """Documents of each class that hold an n-gram, summed over each slice of a batch."""
     for batch in batches:
         for part in chunks(batch):
-            raw, offsets = text_buffer(part.column("text"))
+            points, starts = code_points(*text_buffer(part.column("text")))
             toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-            for _, at, key in grams(raw, offsets, orders):
+            for _, at, key in grams(points, starts, orders):
                 if not len(key):
                     continue
-                row = np.searchsorted(offsets, at, side="right") - 1
+                row = np.searchsorted(starts, at, side="right") - 1
                 order = np.argsort(key, kind="stable")  # rows ascend within a key
                 k, r = key[order], row[order]
                 first = np.ones(len(k), dtype=bool)
@@ -216,20 +244,29 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: i
     return w, float(b)
 
 
-def score_documents(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``doc_id`` and ``score`` of every document; with ``keep``, all columns of ``docs`` and ``toxic_score``."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    name = "toxic_score" if keep else "score"
-    names = [c for c in docs.columns if c != name] if keep else [id_col]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+def score_documents(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``score`` of every document."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                scores = sent.value.score(*text_buffer(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores, pa.float64())], names=[id_col, "score"])
+
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return slim.mapInArrow(run, f"`{id_col}` {id_type}, score double")
+
+
+def drop_documents(docs: DataFrame, model: ToxicModel, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with the columns that they have, that score below ``threshold``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text_col):
-                raw, offsets = text_buffer(part.column(text_col))
-                columns = [part.column(c) for c in names] + [pa.array(sent.value.score(raw, offsets), pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, name])
+            for part in chunks(batch, at):
+                yield part.filter(pa.array(sent.value.score(*text_buffer(part.column(at))) < threshold))
 
-    slim = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, text_col])])
-    return slim.mapInArrow(run, f"{fields}, {name} double")
+    return map_rows(docs, run, docs.schema)

@@ -25,9 +25,9 @@ Everything depends on the data and ``seed`` alone: reruns agree.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; a
 source without words has target 0; null is a source of its own and comes last;
-one row is one document also where ids repeat or are null; an empty table
-gives no rows; extra columns are ignored (``drawn_texts`` keeps the named
-ones); very long texts span many blocks.
+one row is one document also where ids repeat or are null; rows that agree in
+every column are interchangeable; an empty table gives no rows; extra columns
+are ignored (``drawn_texts`` keeps them); very long texts span many blocks.
 """
 
 from __future__ import annotations
@@ -36,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from strataloom.llm.batches import Words, chunks, mix, text_buffer
-from strataloom.llm.storage import settle
+from strataloom.llm.storage import named, settle
 
 BLOCK = 64
 PER_SHARD = 8_192
@@ -49,6 +50,10 @@ MOST = 3
 SEED = 17
 #: Documents of one chunk of the prefix sum.
 CHUNK_ROWS = 2_048
+#: Slots that a task makes of planned counts.
+TASK_SLOTS = 200_000
+#: Equal rows that one step of their unfolding makes.
+COPIES = 4_096
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, most: int = MOST) -> np.ndarray:
@@ -99,7 +104,7 @@ def permute(k: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) -> n
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns but the text, and ``size``: the words of the text."""
     names = [c for c in docs.columns if c != text_col]
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
+    schema = StructType([docs.schema[c] for c in names] + [StructField("size", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +113,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 columns = [part.column(c) for c in names] + [pa.array(words.counts, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "size"])
 
-    return docs.mapInArrow(run, fields + "size long")
+    return docs.mapInArrow(run, schema)
 
 
 class Mix:
@@ -120,7 +125,11 @@ class Mix:
 
     def __init__(self, sized: DataFrame, *, block: int = BLOCK, per_shard: int = PER_SHARD, most: int = MOST, seed: int = SEED, weights: dict[str | None, float] | None = None):
         self.spark, self.block, self.seed = sized.sparkSession, block, seed
-        sized = settle(sized)
+        n = F.floor((F.col("copies") - 1) / COPIES)
+        # equal rows are counted in the tasks that read them, and numbered when they are unfolded again
+        sized = sized.groupBy("id", "source", "tag", "size").agg(F.count("*").alias("copies")).withColumn("step", F.explode(F.sequence(F.lit(0), n)))
+        last = F.least(F.col("copies"), (F.col("step") + 1) * COPIES) - 1
+        sized = settle(sized.withColumn("copy", F.explode(F.sequence(F.col("step") * COPIES, last))).drop("copies", "step"))
         by_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()  # a row per source
         by_source.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8")))
         self.sources = [r.source for r in by_source]
@@ -141,13 +150,13 @@ class Mix:
 
     def _place(self, sized: DataFrame, names: DataFrame, n_chunks: int) -> DataFrame:
         """Adds source_no, source_size, target and ``start``, the words before a row in its source."""
-        where = F.pmod(F.xxhash64("id", "tag"), F.lit(max(1, n_chunks)))
+        where = F.pmod(F.xxhash64("id", "tag", "copy"), F.lit(max(1, n_chunks)))
         rows = sized.join(names, sized.source.eqNullSafe(names.source)).drop(names.source).withColumn("chunk", where)
         sums = rows.groupBy("source_no", "chunk").agg(F.sum("size").alias("words"))
         before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         # one row per source and chunk of CHUNK_ROWS documents
         sums = sums.withColumn("ahead", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
-        inside = Window.partitionBy("source_no", "chunk").orderBy("id", "tag", "size").rowsBetween(Window.unboundedPreceding, -1)
+        inside = Window.partitionBy("source_no", "chunk").orderBy("id", "tag", "copy").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         return settle(rows.join(sums, ["source_no", "chunk"]).withColumn("start", F.col("ahead") + F.col("within")).drop("chunk", "ahead", "within"))
 
@@ -202,7 +211,7 @@ class Mix:
 
         plan = self.spark.createDataFrame(rows, "grp long, slots long, counts array<long>, ahead array<long>")
         each = plan.repartition("grp").mapInArrow(shard_counts, "shard long, source_no int, first long, slots long")
-        return each.repartition("shard", "source_no").mapInArrow(expand, "shard long, source_no int, epoch int, block_no long")
+        return each.repartition(max(1, -(-total // TASK_SLOTS)), "shard", "source_no").mapInArrow(expand, "shard long, source_no int, epoch int, block_no long")
 
     def pieces(self) -> DataFrame:
         """A row per document and block that it reaches into: words ``from_word`` (in the document) on, ``words`` of them."""
@@ -233,11 +242,11 @@ class Mix:
         return self.pieces().join(self.slots.hint("merge"), ["source_no", "block_no"])
 
 
-def sized_rows(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(id, source, tag, size) of every document; ``tag`` hashes the text."""
+def sized_rows(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tag: Column | None = None) -> DataFrame:
+    """(id, source, tag, size) of every document; ``tag`` hashes the text unless given."""
     text = F.col(text_col).cast("string")
-    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    return count_words(slim)
+    tag = F.xxhash64(text) if tag is None else tag
+    return count_words(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), tag.alias("tag"), text.alias("text")))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -246,24 +255,27 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     return done.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
-def drawn_texts(docs: DataFrame, keep: list[str], **options) -> DataFrame:
-    """The mixed texts: per document and epoch one row with the words drawn in it, in text order.
+def drawn_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mixed texts: per row of ``docs`` and epoch one row with the words drawn in it, in text order.
 
     A word carries the white space after it (the first also that before it),
-    so a document drawn whole keeps its text.  Returns ``keep`` (columns of
-    ``docs`` other than text and n_chars), ``text`` and ``n_chars``.
+    so a document drawn whole keeps its text.  Returns the columns of ``docs``,
+    ``n_chars`` (if it is among them) as it is then.
     """
-    plan = Mix(sized_rows(docs), **options)
-    key = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key")
-    span = F.struct("start", "epoch", "from_word", "words")
-    # one list per document, as long as the document has drawn blocks
-    spans = plan.blocks_drawn().select(key, "tag", span.alias("span")).groupBy("key", "tag").agg(F.collect_list("span").alias("spans"))
+    names = docs.columns
+    keep = [c for c in names if c not in ("text", "n_chars")]
     text = F.col("text").cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep], text.alias("text")).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("tag"))
-    # rows that agree in id and text share one list, which holds the draws of each
-    rows = rows.select(key, "tag", "row").groupBy("key", "tag").agg(F.first("row").alias("row"))
-    met = rows.join(spans, ["key", "tag"])
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    tag = F.xxhash64(F.to_json(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)]), {"ignoreNullFields": "false"}), text)
+    plan = Mix(sized_rows(docs, tag=tag), **options)
+    key = [F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), "tag"]
+    span = F.struct("epoch", "from_word", "words")
+    # one list per row of the table, as long as the row has drawn blocks
+    spans = plan.blocks_drawn().select(*key, "source_no", "start", span.alias("span")).groupBy("key", "tag", "source_no", "start").agg(F.collect_list("span").alias("spans"))
+    row = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)])
+    # rows that agree in all columns: one of them, and a list for each
+    rows = docs.select(F.col("doc_id").alias("id"), tag.alias("tag"), F.struct(row.alias("row"), text.alias("text")).alias("it")).select(*key, "it")
+    rows = rows.groupBy("key", "tag").agg(F.first("it").alias("it"))
+    met = rows.join(spans.hint("merge"), ["key", "tag"]).select("it.row", "it.text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,16 +288,16 @@ def drawn_texts(docs: DataFrame, keep: list[str], **options) -> DataFrame:
                     a, b = words.first[i], words.first[i + 1]
                     edges = np.append(words.start[a:b], offsets[i + 1])
                     edges[0] = offsets[i]
-                    draws: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                    draws: dict[int, list[tuple[int, int]]] = {}
                     for s in spans:
-                        draws.setdefault((s["start"], s["epoch"]), []).append((s["from_word"], s["words"]))
+                        draws.setdefault(s["epoch"], []).append((s["from_word"], s["words"]))
                     for draw in sorted(draws):
                         owner.append(i)
                         texts.append(b"".join(data[edges[at] : edges[at + n]] for at, n in sorted(draws[draw])).decode())
                 if owner:
-                    take = pa.array(owner)
-                    columns = [part.column(c).take(take) for c in keep]
-                    columns += [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*keep, "text", "n_chars"])
+                    fields = part.column("row").take(pa.array(owner)).flatten()
+                    data_of = dict(zip(keep, fields, strict=True)) | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+                    yield pa.RecordBatch.from_arrays([data_of[c] for c in names], names=names)
 
-    return met.select("row.*", "spans").mapInArrow(cut, fields + "text string, n_chars long")
+    kinds = {"text": StringType(), "n_chars": LongType()}
+    return met.mapInArrow(cut, StructType([StructField(c, kinds.get(c, docs.schema[c].dataType)) for c in names]))

@@ -56,9 +56,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strataloom.llm.batches import Words, chunks, mix, text_buffer
-from strataloom.llm.storage import Scratch, settle
+from strataloom.llm.storage import Scratch, map_rows, settle
 
 PERCENT = 90
 SHINGLE = 3
@@ -69,6 +70,8 @@ SKETCH_ROWS, SKETCH_CELLS = 3, 1 << 19
 _SKETCH_PARTS = 32
 #: Bits of the filter that thins the second reading of the texts; fixed size, no effect on results.
 FILTER_BITS = 1 << 25
+#: Entries of a list that one task of the second join holds against the whole list.
+LIST_ROWS = 2_048
 _SALT_LIMIT = 12
 #: Buckets of a signature; sets of more than ``SIGNATURE_LIMIT`` have none (one byte per bucket) and always pass.
 SIGNATURE, SIGNATURE_LIMIT = 128, 10_000
@@ -298,17 +301,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held, [np.array([p]) for p in pivot], np.array([True]))
 
 
-def _filter_bits(nodes: np.ndarray) -> np.ndarray:
-    return (mix(nodes.view(np.uint64) + np.uint64(7)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS, dtype=bool)
-    for batch in batches:
-        bits[_filter_bits(batch.column("node").to_numpy(zero_copy_only=False))] = True
-    yield pa.RecordBatch.from_pydict({"bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
-
-
 def _texts(batches: Iterator[pa.RecordBatch], bits: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
     """The texts of nodes that pass the filter, each once per task."""
     seen: set[int] = set()
@@ -319,8 +311,8 @@ def _texts(batches: Iterator[pa.RecordBatch], bits: np.ndarray, size: int) -> It
                 node = node_of(s) if len(s) else None
                 if node is None or node in seen:
                     continue
-                k = int(_filter_bits(np.array([node]))[0])
-                if bits[k >> 3] >> (7 - (k & 7)) & 1:
+                k = node & (FILTER_BITS - 1)
+                if bits[k >> 3] >> (k & 7) & 1:
                     seen.add(node)
                     nodes.append(node)
                     keep.append(i)
@@ -351,11 +343,12 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int, size: int) -> Itera
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
     """Those of the node pairs (a, b) whose sets link."""
     sc = docs.sparkSession.sparkContext
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    bits = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
-    for row in ends.coalesce(16).mapInArrow(_bitmap, "bits binary").collect():  # sixteen maps of fixed size
-        bits |= np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
-    sent = sc.broadcast(bits)
+    slot = F.expr(f"node & {FILTER_BITS - 1}L")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, int(node & 63L))").alias("bit"))
+    set_ = ends.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    bits = np.zeros(FILTER_BITS >> 6, dtype="<i8")
+    bits[set_.column("word").to_numpy()] = set_.column("bits").to_numpy()
+    sent = sc.broadcast(bits.view(np.uint8))
     texts = docs.mapInArrow(lambda it: _texts(it, sent.value, size), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
     both = (
         pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -466,14 +459,16 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, size: int = SHIN
     roots = components(links, scratch)
 
     placed = scratch.settle(ranked.drop("pivot", "pivot_meta").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), rows=n_shared)
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).where("low <> high")
+    mixed = mixed.select("token", F.expr(f"c div {LIST_ROWS} + 1").alias("salts"))
     past = F.expr(f"pos - n + ({percent} * n + 99) div 100").alias("past")  # must be less than l
-    side = placed.join(mixed, "token", "left_semi").select("token", "node", "root", "n", "pos", "sh", "l", past)
-    a = side.select("token", *[F.col(c).alias(f"{c}_a") for c in side.columns[1:]])
-    b = side.select("token", *[F.col(c).alias(f"{c}_b") for c in side.columns[1:]])
+    side = placed.join(mixed, "token").select("token", "salts", "node", "root", "n", "pos", "sh", "l", past)
+    # long lists: one side is dealt over the salts, the other stands at each
+    a = side.select("token", F.expr("pmod(xxhash64(node), salts)").alias("salt"), *[F.col(c).alias(f"{c}_a") for c in side.columns[2:]])
+    b = side.select("token", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in side.columns[2:]])
     least_l = F.least("l_a", "l_b")
     rest = (
-        a.join(b, "token")
+        a.join(b, ["token", "salt"])
         .where("root_a < root_b")
         .where(_fits(percent))
         .where((F.col("past_a") < least_l) & (F.col("past_b") < least_l))
@@ -505,20 +500,19 @@ def one_of_each(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE)
     groups = join_components(docs, percent=percent, size=size)
     null_last = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("id"), "node")
     chosen = groups.where("root is not null").groupBy("root").agg(F.min(null_last).alias("c")).select(F.col("c.id").alias("id"), F.col("c.node").alias("node"))
-    names = docs.columns
+    empty = lambda rows: F.coalesce(rows, F.lit(""))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch):
                 nodes = [node_of(s) if len(s) else None for s in shingle_sets(piece.column("text"), size)]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(nodes, pa.int64())], names=[*names, "__node"])
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    tagged = docs.mapInArrow(tag, f"{fields}, __node long")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
-    rows = tagged.where("__node is not null").select(key, "__node", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    chosen = chosen.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__key"), F.col("node").alias("__node"))
-    kept = rows.join(chosen, ["__key", "__node"], "left_semi")
+                yield pa.RecordBatch.from_arrays([piece.to_struct_array(), pa.array(nodes, pa.int64())], names=["row", "node"])
+
+    # the columns stay inside a struct, so that none of their names meets one of ours
+    tagged = map_rows(docs, tag, StructType([StructField("row", docs.schema), StructField("node", LongType())]))
+    rows = tagged.where("node is not null").select(empty(F.col("row.doc_id").cast("string")).alias("key"), "node", "row")
+    chosen = chosen.select(empty(F.col("id").cast("string")).alias("key"), "node")
+    kept = rows.join(chosen, ["key", "node"], "left_semi")
     # equal ids with equal sets: one row of each
-    once = kept.groupBy("__key", "__node").agg(F.first("row").alias("row")).select("row.*")
-    return once.union(tagged.where("__node is null").select(*[F.col(f"`{c}`") for c in names]))
+    once = kept.groupBy("key", "node").agg(F.first("row").alias("row")).select("row")
+    return once.union(tagged.where("node is null").select("row")).select("row.*")

@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm.batches import Words, chunks, text_buffer
 from strataloom.llm.samples import lowest_hashes
+from strataloom.llm.storage import map_rows
 
 #: Kinds in the order of spans that start together; the first four have base patterns.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -620,4 +621,4 @@ def redact(docs: DataFrame, model: Field, *, least: float = LEAST) -> DataFrame:
                         data["n_chars"] = pa.array(chars, part.column("n_chars").type)
                 yield pa.RecordBatch.from_pydict(data)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)

@@ -9,7 +9,6 @@ shared folder and reads it back as the next stage's input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strataloom.llm import mixing, ngram_join, personal_data, sentencepieces, toxicity
 from strataloom.llm.queries import crc_mod, tokenizer_path
@@ -20,8 +19,7 @@ from strataloom.session import ship
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; labels of the training folds only."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod(3) != 1)
-    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels), keep=True)
-    return scored.where(F.col("toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.drop_documents(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +34,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' drawn words: a row per document and epoch that the mix draws from."""
-    keep = [c for c in docs.columns if c not in ("text", "n_chars")]
-    return mixing.drawn_texts(docs, keep).select(*docs.columns)
+    return mixing.drawn_texts(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

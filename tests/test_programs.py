@@ -8,7 +8,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from strataloom.operators import control_flow, cycles, idioms, runtime, slicing, spectral
-from strataloom.sources import cobol, copybooks, jcl
+from strataloom.sources import calls, cobol, copybooks, jcl
+from strataloom.sources.tokens import Phrase, mentions
 
 TILL = """
        IDENTIFICATION DIVISION.
@@ -111,6 +112,80 @@ def test_conditions():
     assert cobol.condition("A = 1 OR B = 2 AND C = 3", legacy=True) == "((A = 1 OR B = 2) AND C = 3)"
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("A NOT GREATER THAN B", "A <= B"), ("A IS GREATER OR EQUAL TO 5", "A >= 5"), ("A EQUALS 'EQUAL TO'", "A = 'EQUAL TO'"), ("READY", "READY = TRUE"), ("A <> B", "A != B"),
+        ("(A = 1 OR B = 2) AND C = 3", "((A = 1 OR B = 2) AND C = 3)"), ("A = 'X OR Y'", "A = 'X OR Y'"), ("WS-EQUAL-TO = 1", "WS-EQUAL-TO = 1"), ("A = 1 AND B = 2 AND C", "(A = 1 AND (B = 2 AND C = TRUE))"),
+    ],
+)
+def test_condition_forms(text, want):
+    assert cobol.condition(text) == want
+
+
+def test_tokens():
+    p = Phrase("CALL 'A-B' USING X.Y, (Z)")
+    assert p.tokens == ["CALL", "'A-B'", "USING", "X", ".", "Y", ",", "(", "Z", ")"] and p.literal(1) == "A-B" and p.word(1) == "" and p.word(99) == p.mark(99) == ""
+    assert p.name(3, dots=1) == "X.Y" and p.name(3) == "X" and p.part(2, 4) == "USING X" and p.part(5, 5) == "" and p.find("Z") == 8 and p.find("Q") == -1
+    assert Phrase("LINK PROGRAM ('P1') COMMAREA( W-A )").option("COMMAREA") == "W-A" and Phrase("MAP X").option("MAP") == ""
+    assert mentions("A-B + WS", "A") and not mentions("AB + A_B", "A") and mentions("xA A", "A")
+
+
+def test_statements():
+    def got(text):
+        s = cobol.statement(7, text)
+        return s.kind, s.code, s.targets, s.sources, s.operands, s.in_place
+
+    assert got("MOVE 'A TO B' TO X, Y Z.") == ("MOVE", "MOVE 'A TO B' TO X, Y, Z", ["X", "Y", "Z"], ["'A TO B'"], [], False)
+    assert got("SUBTRACT A FROM B GIVING C.") == ("SUBTRACT", "SUBTRACT A FROM B GIVING C", ["C"], [], ["A", "B"], False)
+    assert got("ADD 1 TO N") == ("ADD", "ADD 1 TO N", ["N"], [], ["1"], True)
+    assert got("COMPUTE X = (A + B) * 2.") == ("COMPUTE", "COMPUTE X = (A + B) * 2", ["X"], ["(A + B) * 2"], [], False)
+    assert got("stop run.")[:2] == ("STOP", "STOP RUN") and got("GOBACK.")[0] == "GOBACK" and got("PERFORM A-1.")[:3] == ("PERFORM", "PERFORM A-1", ["A-1"])
+    assert got("MOVE X.")[0] == "UNSUPPORTED_MOVE" and got("STOP 1.")[0] == "UNSUPPORTED_STOP" and cobol.statement(1, " ") is None
+    s = cobol.statement(1, "EXEC SQL SELECT A, B INTO :W-A, :W-B FROM S.T1 JOIN T2 ON X = :K WHERE Y = :W-A END-EXEC.")
+    assert (s.operation, s.tables, s.host_reads, s.host_writes) == ("SELECT", ["S.T1", "T2"], ["K"], ["W-A", "W-B"])
+    s = cobol.statement(1, "EXEC CICS SEND MAP('M1') END-EXEC")
+    assert (s.operation, s.resource, s.label) == ("SEND MAP", ("MAP", "M1"), "CICS SEND MAP MAP(M1)")
+    assert cobol.statement(1, "EXEC CICS SYNCPOINT END-EXEC").resource == ("TRANSACTION", "SYNCPOINT") and cobol.statement(1, "EXEC CICS READ FILE(F) END-EXEC").resource == ("COMMAND", "UNKNOWN")
+
+
+def test_declarations_and_headers():
+    assert cobol.declaration("01 WS-A PIC S9(4)V99 VALUE -3.50.") == ("WS-A", ("S9(4)V99", "-3.50", 1))
+    assert cobol.declaration('88 IS-OK VALUE "Y".') == ("IS-OK", ("", "Y", 88)) and cobol.declaration("01 G.") == ("G", ("", "", 1))
+    assert cobol.declaration("05 N PIC 9 COMP-3.") is None and cobol.declaration("05 N OCCURS 3 TIMES.") is None and cobol.declaration("05 N PIC 9") is None
+    assert cobol._Reader.header("MAIN-1. MOVE A TO B.", ()) == "MAIN-1" and cobol._Reader.header("MAIN-1.X", ()) is None and cobol._Reader.header("END-IF.", cobol.NO_PARAGRAPH) is None
+    assert cobol.program_name(" program-id. ab-1.") == "AB-1" and cobol.program_name("PROGRAM-ID MISSING") is None
+
+
+def test_calls_and_accesses():
+    source = """
+       SELECT IN-FILE ASSIGN TO "CUST.DATA".
+       SELECT OUT-FILE ASSIGN TO OUT.F1.
+      * CALL 'COMMENTED'.
+       OPEN INPUT IN-FILE.
+       CALL 'SUB-1' USING BY REFERENCE W-A, W-B BY CONTENT W-C.
+       CALL WS-NEXT END-CALL.
+       EXEC CICS LINK PROGRAM('PAY01')
+           COMMAREA(W-AREA) END-EXEC.
+       EXEC CICS XCTL PROGRAM(WS-TO) END-EXEC
+       EXEC SQL
+           DELETE FROM S.LEDGER
+       END-EXEC.
+       EXEC SQL SELECT A INTO :X FROM T1 JOIN T2 END-EXEC.
+       REWRITE OUT-FILE. READ IN-FILE.
+       DELETE OTHER.
+    """
+    source = "\n".join(x.strip() for x in source.split("\n"))
+    assert list(calls.calls_of(source)) == [
+        ("SUB-1", "COBOL_STATIC", False, ["W-A", "W-B", "W-C"], 6), ("WS-NEXT", "COBOL_DYNAMIC", True, [], 7),
+        ("PAY01", "CICS_LINK", False, ["W-AREA"], 8), ("WS-TO", "CICS_XCTL", True, [], 10),
+    ]
+    assert list(calls.accesses_of(source)) == [
+        ("DB2_TABLE", "S.LEDGER", "DELETE", "WRITE", 12), ("DB2_TABLE", "T1", "SELECT", "READ", 14), ("DB2_TABLE", "T2", "SELECT", "READ", 14),
+        ("FILE_DATASET", "CUST.DATA", "OPEN INPUT", "READ", 5), ("FILE_DATASET", "OUT.F1", "REWRITE", "READ_WRITE", 15), ("FILE_DATASET", "OTHER", "DELETE", "READ_WRITE", 16),
+    ]
+
+
 def test_copybooks():
     library = {"REC": "01 REC-A PIC 9.\n    COPY INNER.", "INNER.CPY": "01 :P:-B PIC X."}
     lines = copybooks.expand("       COPY REC REPLACING ==:P:== BY ==WS==.", library)

@@ -20,13 +20,23 @@ def shared_resources(accesses: DataFrame) -> DataFrame:
     )
 
 
+#: Programs of a resource that one task pairs with all of them.
+LIST_ROWS = 1_024
+
+
 def pair_counts(accesses: DataFrame, calls: DataFrame | None = None) -> DataFrame:
-    """(a, b, tables, datasets, jobs, calls) of all pairs a < b that share a resource or call each other."""
+    """(a, b, tables, datasets, jobs, calls) of all pairs a < b that share a resource or call each other.
+
+    The programs of a much-used resource are dealt over salts on one side and
+    stand at each salt on the other; counts are summed before they travel.
+    """
     one = accesses.select("program", "resource", "kind").distinct()
-    a = one.select(F.col("program").alias("a"), "resource", "kind")
-    b = one.select(F.col("program").alias("b"), "resource", "kind")
+    salts = one.groupBy("resource", "kind").agg(F.count("*").alias("n")).where("n > 1").select("resource", "kind", F.expr(f"n div {LIST_ROWS} + 1").alias("salts"))
+    one = one.join(salts, ["resource", "kind"])
+    a = one.select(F.col("program").alias("a"), "resource", "kind", F.expr("pmod(xxhash64(program), salts)").alias("salt"))
+    b = one.select(F.col("program").alias("b"), "resource", "kind", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"))
     kinds = ("table", "dataset", "job")
-    pairs = a.join(b, ["resource", "kind"]).where("a < b").select("a", "b", *[(F.col("kind") == k).cast("long").alias(f"{k}s") for k in kinds], F.lit(0).cast("long").alias("calls"))
+    pairs = a.join(b, ["resource", "kind", "salt"]).where("a < b").select("a", "b", *[(F.col("kind") == k).cast("long").alias(f"{k}s") for k in kinds], F.lit(0).cast("long").alias("calls"))
     if calls is not None:
         edge = calls.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), *[F.lit(0).cast("long").alias(f"{k}s") for k in kinds], F.lit(1).cast("long").alias("calls"))
         pairs = pairs.unionByName(edge)

@@ -7,7 +7,9 @@ joins and sums.  No vertex or edge list reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.storage import Scratch, settle
@@ -80,23 +82,65 @@ def transition(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return moves.union(sinks)
 
 
+class _Search:
+    """Breadth-first search from many seeds at once, 64 of them to a word of bits.
+
+    ``seeds`` is (seed, word, bit); ``levels[h]`` is (id, word, bits), the seeds
+    that first reach a node in h hops; ``seen`` is (id, word, bits) of all hops.
+    What a step joins and sums are words, not pairs.
+    """
+
+    def __init__(self, edges: DataFrame, seeds: DataFrame, max_hops: int | None = None):
+        self.scratch = scratch = Scratch(edges.sparkSession)
+        steps = scratch.settle(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+        ids = scratch.settle(seeds.select(F.col("id").alias("seed")).where("seed is not null").distinct())
+        groups = max(1, ids.count() // 4_096)
+        # numbered inside small groups, so that no window spans all seeds
+        at = F.row_number().over(Window.partitionBy("grp").orderBy("seed")) - 1
+        numbered = ids.withColumn("grp", F.pmod(F.xxhash64("seed"), F.lit(groups))).withColumn("at", at)
+        self.seeds = scratch.settle(numbered.select("seed", F.expr("(grp << 32) | (at >> 6)").alias("word"), F.expr("cast(at & 63 as int)").alias("bit")))
+        level = scratch.settle(self.seeds.select(F.col("seed").alias("id"), "word", F.expr("shiftleft(1L, bit)").alias("bits")).groupBy("id", "word").agg(F.bit_or("bits").alias("bits")))
+        self.levels, self.seen = [level], level
+        while (max_hops is None or len(self.levels) <= max_hops) and not level.isEmpty():
+            moved = level.join(steps, level.id == steps.src).groupBy(F.col("dst").alias("id"), "word").agg(F.bit_or("bits").alias("bits"))
+            old = self.seen.select("id", "word", F.col("bits").alias("old"))
+            fresh = F.expr("bits & ~coalesce(old, 0L)")
+            level = scratch.settle(moved.join(old, ["id", "word"], "left").select("id", "word", fresh.alias("bits")).where("bits <> 0"))
+            self.levels.append(level)
+            self.seen = scratch.settle(self.seen.union(level).groupBy("id", "word").agg(F.bit_or("bits").alias("bits")))
+
+    def clear(self) -> None:
+        self.scratch.clear()
+
+
 def reach(edges: DataFrame, seeds: DataFrame, *, max_hops: int | None = None) -> DataFrame:
     """(seed, id, hop): all nodes within reach of each seed, itself at hop 0, with least hops.
 
     Breadth first for all seeds at once; ends when a step finds nothing new.
+    The result has a row per pair: for many seeds of a dense graph ask for
+    ``reach_counts``.
     """
-    scratch = Scratch(edges.sparkSession)
-    steps = scratch.settle(edges.select("src", "dst").distinct())
-    frontier = scratch.settle(seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("hop", F.lit(0)))
-    visited, hop = frontier, 0
-    while (max_hops is None or hop < max_hops) and not frontier.isEmpty():
-        hop += 1
-        nxt = frontier.join(steps, frontier.id == steps.src).select("seed", F.col("dst").alias("id")).distinct()
-        frontier = scratch.settle(nxt.join(visited, ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)))
-        visited = visited.union(frontier)
-    result = settle(visited)
-    scratch.clear()
-    return result
+    search = _Search(edges, seeds, max_hops)
+    try:
+        rows = None
+        for hop, level in enumerate(search.levels):
+            level = level.withColumn("hop", F.lit(hop))
+            rows = level if rows is None else rows.union(level)
+        bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("bit_get", F.col("bits"), b) == 1)).alias("bit")
+        return settle(rows.select("id", "word", "hop", bit).join(search.seeds, ["word", "bit"]).select("seed", "id", "hop"))
+    finally:
+        search.clear()
+
+
+def reach_counts(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, n): how many of the seeds other than itself reach a node, without a row per pair."""
+    search = _Search(edges, seeds)
+    try:
+        own = search.levels[0].groupBy("id").agg(F.lit(1).alias("own"))
+        n = search.seen.groupBy("id").agg(F.sum(F.bit_count("bits")).alias("n"))
+        return settle(n.join(own, "id", "left").select("id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n")))
+    finally:
+        search.clear()
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -111,11 +155,11 @@ def blast_radius(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     def direct(end: str, other: str, name: str) -> DataFrame:
         return edges.where("src <> dst").groupBy(F.col(end).alias("id")).agg(F.count_distinct(other).alias(name))
 
-    def far(e: DataFrame, name: str) -> DataFrame:
-        return reach(e, ids).where("hop > 0").groupBy(F.col("seed").alias("id")).agg(F.count("*").alias(name))
-
     out = ids
-    for part in (direct("dst", "src", "direct_up"), direct("src", "dst", "direct_down"), far(edges, "down"), far(reverse(edges), "up")):
+    for part in (
+        direct("dst", "src", "direct_up"), direct("src", "dst", "direct_down"),
+        reach_counts(reverse(edges), ids).withColumnRenamed("n", "down"), reach_counts(edges, ids).withColumnRenamed("n", "up"),
+    ):
         out = out.join(part, "id", "left")
     counts = ("direct_up", "direct_down", "down", "up")
     out = out.select("id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
@@ -147,51 +191,168 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, scc, cyclic): least node id of the strong component; cyclic if it has two nodes or a self-loop.
 
-    For sparse graphs: two nodes are in one component if each reaches the other.
+    Rounds of trimming and colouring: nodes without edges on one side are
+    components of their own; of the rest, each node takes the least id that
+    reaches it as its colour, and a colour's component is what its root reaches
+    backwards inside the colour.  Steps grow with the diameter, never with pairs.
     """
-    r = reach(edges, nodes).select("seed", "id")
-    mutual = r.join(r.select(F.col("id").alias("seed"), F.col("seed").alias("id")), ["seed", "id"], "left_semi")
-    loops = edges.where("src = dst").select(F.col("src").alias("id"), F.lit(True).alias("loop")).distinct()
-    out = mutual.groupBy(F.col("seed").alias("id")).agg(F.min("id").alias("scc"), F.count("*").alias("size"))
-    return out.join(loops, "id", "left").select("id", "scc", ((F.col("size") > 1) | F.coalesce("loop", F.lit(False))).alias("cyclic"))
-
-
-def spread(edges: DataFrame, nodes: DataFrame, start: DataFrame, factors: list[float]) -> DataFrame:
-    """Sum over k of factors[k] * (P^T)^k start, with ``start`` (id, u): truncated diffusion as repeated join and sum."""
     scratch = Scratch(edges.sparkSession)
-    p = scratch.settle(transition(edges, nodes))
-    now = start.select("id", F.col("u").cast("double").alias("u"))
-    parts = [now.withColumn("u", F.col("u") * factors[0])]
-    for f in factors[1:]:
-        moved = now.join(p, now.id == p.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("u") * F.col("p")).alias("u"))
-        now = scratch.settle(moved)
-        parts.append(now.withColumn("u", F.col("u") * f))
-    total = parts[0]
-    for part in parts[1:]:
-        total = total.union(part)
-    result = settle(total.groupBy("id").agg(F.sum("u").alias("u")))
-    scratch.clear()
-    return result
+    try:
+        ids = scratch.settle(nodes.select("id").distinct())
+        e = scratch.settle(existing(edges.select("src", "dst").where("src <> dst").distinct(), ids))
+        found = None
+
+        def add(part: DataFrame) -> None:
+            nonlocal found
+            found = part if found is None else found.union(part)
+
+        left = ids
+        while not left.isEmpty():
+            while True:  # trim
+                both = left.join(e.select(F.col("src").alias("id")).distinct(), "id", "left_semi").join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+                kept = scratch.settle(both)
+                alone = scratch.settle(left.join(kept, "id", "left_anti"))
+                left = kept
+                if alone.isEmpty():
+                    break
+                add(alone.select("id", F.col("id").alias("scc")))
+                e = scratch.settle(existing(e, left))
+            if left.isEmpty():
+                break
+            colour = scratch.settle(left.withColumn("c", F.col("id")))
+            changed = colour
+            while not changed.isEmpty():
+                told = changed.join(e, changed.id == e.src).groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("new"))
+                after = scratch.settle(colour.join(told, "id", "left").select("id", F.least("c", "new").alias("c"), (F.col("new") < F.col("c")).alias("less")))
+                colour, changed = after.select("id", "c"), after.where("less").select("id", "c")
+            inside = (
+                e.join(colour.select(F.col("id").alias("src"), F.col("c").alias("c_src")), "src")
+                .join(colour.select(F.col("id").alias("dst"), F.col("c").alias("c")), "dst")
+                .where("c_src = c")
+                .select("src", "dst")
+            )
+            inside = scratch.settle(inside)
+            front = member = scratch.settle(colour.where("id = c"))
+            while not front.isEmpty():
+                back = front.join(inside, front.id == inside.dst).select(F.col("src").alias("id"), "c").distinct()
+                front = scratch.settle(back.join(member, "id", "left_anti"))
+                member = scratch.settle(member.union(front))
+            add(member.select("id", F.col("c").alias("scc")))
+            left = scratch.settle(left.join(member, "id", "left_anti"))
+            e = scratch.settle(existing(e, left))
+        loops = edges.where("src = dst").select(F.col("src").alias("id"), F.lit(True).alias("loop")).distinct()
+        if found is None:
+            found = ids.select("id", F.col("id").alias("scc"))
+        sizes = found.groupBy("scc").agg(F.count("*").alias("size"))
+        out = found.join(sizes, "scc").join(loops, "id", "left")
+        return settle(out.select("id", "scc", ((F.col("size") > 1) | F.coalesce("loop", F.lit(False))).alias("cyclic")))
+    finally:
+        scratch.clear()
+
+
+#: Transitions up to which repeated products run in one task; beyond, each product is a join and a sum.
+LOCAL_EDGES = 2_000_000
+MOST_STEPS = 10_000
+
+
+def spread(edges: DataFrame, nodes: DataFrame, start: DataFrame, factors: Callable[[int], float], *, terms: int | None = None, tolerance: float = 0.0) -> DataFrame:
+    """Sum over k of factors(k) * (P^T)^k start, with ``start`` (id, u): truncated diffusion.
+
+    Ends after ``terms`` products, or when a term adds no more than
+    ``tolerance`` in sum; not getting there in ``MOST_STEPS`` is an error.
+    """
+    scratch = Scratch(edges.sparkSession)
+    try:
+        p = scratch.settle(transition(edges, nodes))
+        start = scratch.settle(start.select("id", F.col("u").cast("double").alias("u")).where("u <> 0"))
+        limit = MOST_STEPS if terms is None else terms
+        if p.count() + start.count() <= LOCAL_EDGES:
+            return settle(_spread_in_one_task(p, start, factors, limit, terms is not None, tolerance))
+        total, now = start.withColumn("u", F.col("u") * factors(0)), start
+        for k in range(1, limit):
+            now = scratch.settle(now.join(p, now.id == p.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("u") * F.col("p")).alias("u")))
+            total = scratch.settle(total.union(now.withColumn("u", F.col("u") * factors(k))).groupBy("id").agg(F.sum("u").alias("u")))
+            if terms is None and abs(factors(k)) * (now.agg(F.sum(F.abs("u"))).first()[0] or 0.0) <= tolerance:
+                break
+        else:
+            if terms is None:
+                raise ValueError(f"no convergence in {MOST_STEPS} steps")
+        return settle(total)
+    finally:
+        scratch.clear()
+
+
+def _spread_in_one_task(p: DataFrame, start: DataFrame, factors: Callable[[int], float], limit: int, fixed: bool, tolerance: float) -> DataFrame:
+    """The same sum for at most LOCAL_EDGES transitions."""
+    import numpy as np
+    import pandas as pd
+
+    name = p.schema["src"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["src", "dst"], na_position="first", kind="stable")
+        ids, at = np.unique(np.concatenate([pdf["src"], pdf["dst"].fillna(pdf["src"])]), return_inverse=True)
+        src, dst = at[: len(pdf)], at[len(pdf) :]
+        seed = pdf["dst"].isna().to_numpy()
+        now = np.bincount(src[seed], weights=pdf["v"].to_numpy()[seed], minlength=len(ids))
+        src, dst, w = src[~seed], dst[~seed], pdf["v"].to_numpy()[~seed]
+        total = now * factors(0)
+        for k in range(1, limit):
+            now = np.bincount(dst, weights=now[src] * w, minlength=len(ids))
+            total += factors(k) * now
+            if not fixed and abs(factors(k)) * np.abs(now).sum() <= tolerance:
+                break
+        else:
+            if not fixed:
+                raise ValueError(f"no convergence in {limit} steps")
+        some = total != 0
+        return pd.DataFrame({"id": ids[some], "u": total[some]})
+
+    rows = p.select("src", "dst", F.col("p").alias("v")).union(start.select("id", F.lit(None).cast(name), "u"))
+    return rows.groupBy(F.lit(0).alias("g")).applyInPandas(run, f"id {name}, u double")
 
 
 def impact(edges: DataFrame, nodes: DataFrame, source: DataFrame, *, t: float = 1.5, terms: int = 25) -> DataFrame:
     """exp((P^T - I) t) applied to unit mass on ``source`` (id), by uniformisation: e^-t sum of t^k / k! (P^T)^k."""
     from math import exp, factorial
 
-    return spread(edges, nodes, source.select("id", F.lit(1.0).alias("u")), [exp(-t) * t**k / factorial(k) for k in range(terms)])
+    return spread(edges, nodes, source.select("id", F.lit(1.0).alias("u")), lambda k: exp(-t) * t**k / factorial(k), terms=terms)
 
 
-def personalised_rank(edges: DataFrame, nodes: DataFrame, source: DataFrame, *, alpha: float = 0.85, terms: int = 60) -> DataFrame:
-    """Personalised PageRank (1 - a) sum of a^k (P^T)^k over ``terms`` steps; alpha in [0, 1)."""
+def personalised_rank(edges: DataFrame, nodes: DataFrame, source: DataFrame, *, alpha: float = 0.85, tolerance: float = 1e-12) -> DataFrame:
+    """Personalised PageRank (1 - a) sum of a^k (P^T)^k, until a term adds less than ``tolerance``; alpha in [0, 1)."""
     if not 0 <= alpha < 1:
         raise ValueError("alpha must lie in [0, 1)")
-    return spread(edges, nodes, source.select("id", F.lit(1.0).alias("u")), [(1 - alpha) * alpha**k for k in range(terms)])
+    return spread(edges, nodes, source.select("id", F.lit(1.0).alias("u")), lambda k: (1 - alpha) * alpha**k, tolerance=tolerance)
+
+
+class Ordered:
+    """Rows in one global order, dealt to tasks by range: ranks and running sums in two levels."""
+
+    def __init__(self, rows: DataFrame, by: list[Column], scratch: Scratch):
+        n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        self.by = by
+        # settled: the ranges are drawn from a sample and must not be drawn twice
+        self.rows = scratch.settle(rows.repartitionByRange(n, *by).withColumn("range", F.spark_partition_id()))
+
+    def running(self, sums: dict[str, Column]) -> DataFrame:
+        """Adds each sum over the rows up to and with a row."""
+        inside = Window.partitionBy("range").orderBy(*self.by).rowsBetween(Window.unboundedPreceding, 0)
+        whole = self.rows.groupBy("range").agg(*[F.sum(c).alias(f"{k} before") for k, c in sums.items()])
+        before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+        whole = whole.select("range", *[F.coalesce(F.sum(f"{k} before").over(before), F.lit(0)).alias(f"{k} before") for k in sums])
+        rows = self.rows.select("*", *[F.sum(c).over(inside).alias(k) for k, c in sums.items()]).join(F.broadcast(whole), "range")
+        return rows.withColumns({k: F.col(k) + F.col(f"{k} before") for k in sums}).drop("range", *[f"{k} before" for k in sums])
 
 
 def ranking(scores: DataFrame, score: str, *, ascending: bool = False) -> DataFrame:
-    """Adds ``rank``: by score, then id.  A global order: for results of bounded size or behind a limit."""
+    """Adds ``rank``: by score, then id."""
     by = F.col(score).asc() if ascending else F.col(score).desc()
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(by, "id")))
+    scratch = Scratch(scores.sparkSession)
+    try:
+        return settle(Ordered(scores, [by, F.col("id")], scratch).running({"rank": F.lit(1)}).withColumn("rank", F.col("rank").cast("int")))
+    finally:
+        scratch.clear()
 
 
 def sweep(edges: DataFrame, scores: DataFrame) -> DataFrame:
@@ -202,19 +363,23 @@ def sweep(edges: DataFrame, scores: DataFrame) -> DataFrame:
     (rank, id, cut, volume, conductance); prefixes with an empty side are left
     out.
     """
-    order = ranking(scores.select("id", "score"), "score", ascending=True).select("id", "rank")
-    a = adjacency(edges).where("src <> dst")
-    both = a.union(a.select("dst", "src", "w"))
-    ends = both.join(order.select(F.col("id").alias("src"), F.col("rank").alias("r_src")), "src").join(order.select(F.col("id").alias("dst"), F.col("rank").alias("r_dst")), "dst")
-    once = ends.where("r_src < r_dst")
-    delta = once.select(F.col("r_src").alias("rank"), F.col("w").alias("d")).union(once.select(F.col("r_dst").alias("rank"), (-F.col("w")).alias("d")))
-    degree = ends.groupBy(F.col("r_src").alias("rank")).agg(F.sum("w").alias("degree"))
-    steps = order.join(delta.groupBy("rank").agg(F.sum("d").alias("d")), "rank", "left").join(degree, "rank", "left").fillna(0.0, ["d", "degree"])
-    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy()
-    out = steps.select("rank", "id", F.sum("d").over(upto).alias("cut"), F.sum("degree").over(upto).alias("volume"), F.sum("degree").over(all_).alias("total"))
-    small = F.least(F.col("volume"), F.col("total") - F.col("volume"))
-    return out.where(small > 1e-9).select("rank", "id", "cut", "volume", (F.col("cut") / small).alias("conductance"))
+    scratch = Scratch(edges.sparkSession)
+    try:
+        order = scratch.settle(ranking(scores.select("id", "score"), "score", ascending=True).select("id", "rank"))
+        a = adjacency(edges).where("src <> dst")
+        both = a.union(a.select("dst", "src", "w"))
+        ends = both.join(order.select(F.col("id").alias("src"), F.col("rank").alias("r_src")), "src").join(order.select(F.col("id").alias("dst"), F.col("rank").alias("r_dst")), "dst")
+        ends = scratch.settle(ends.select("r_src", "r_dst", "w"))
+        once = ends.where("r_src < r_dst")
+        delta = once.select(F.col("r_src").alias("rank"), F.col("w").alias("d")).union(once.select(F.col("r_dst").alias("rank"), (-F.col("w")).alias("d")))
+        degree = ends.groupBy(F.col("r_src").alias("rank")).agg(F.sum("w").alias("degree"))
+        steps = order.join(delta.groupBy("rank").agg(F.sum("d").alias("d")), "rank", "left").join(degree, "rank", "left").fillna(0.0, ["d", "degree"])
+        total = ends.agg(F.sum("w")).first()[0] or 0.0
+        out = Ordered(steps, [F.col("rank")], scratch).running({"cut": F.col("d"), "volume": F.col("degree")})
+        small = F.least(F.col("volume"), total - F.col("volume"))
+        return settle(out.where(small > 1e-9).select("rank", "id", "cut", "volume", (F.col("cut") / small).alias("conductance")))
+    finally:
+        scratch.clear()
 
 
 def crossing(edges: DataFrame, parts: DataFrame) -> DataFrame:

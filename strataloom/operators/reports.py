@@ -66,7 +66,7 @@ def dossier(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     calls = edges.where(F.col("edge_type").isin(*portfolio.CALLS)).select("src", "dst")
     pairs = coupling.friction(access, calls)
     per = pairs.select(F.explode(F.array("a", "b")).alias("id"), "barrier").groupBy("id").agg(F.count_if("barrier").alias("barriers"), F.count("*").alias("partners"))
-    blast = graph.reach(calls, programs).where("hop > 0").groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("blast"))
+    blast = graph.reach_counts(graph.reverse(calls), programs).withColumnRenamed("n", "blast")
     rows = programs.join(per, "id", "left").join(blast, "id", "left").fillna(0, ["barriers", "partners", "blast"])
     share = F.when(F.col("partners") > 0, F.col("barriers") / F.col("partners")).otherwise(0.0)
     rows = rows.withColumn("index", coupling.separability(share, F.col("barriers")))

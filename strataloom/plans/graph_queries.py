@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import exp, factorial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,7 +108,7 @@ def a17(s: S, d: str) -> D:
 def a18(s: S, d: str) -> D:
     pairs = coupling.pair_counts(star.accesses(s, d), star.calls(s, d)).where("tables >= 2 or (tables >= 1 and jobs >= 1)")
     bars = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("barrier", F.lit(True))
-    blast = graph.reach(_edges(s, d), star.called(s, d)).groupBy(F.col("seed").alias("id")).agg((F.count("*") - 1).alias("blast"))
+    blast = graph.reach_counts(graph.reverse(_edges(s, d)), star.called(s, d)).withColumnRenamed("n", "blast")
     rows = star.programs(s, d).join(bars, "id", "left").join(blast, "id", "left").select("id", F.coalesce("barrier", F.lit(False)).alias("barrier"), F.coalesce("blast", F.lit(0)).alias("blast"))
     return rows.withColumn("wave", coupling.migration_wave(F.col("barrier"), F.col("blast")))
 
@@ -201,14 +199,9 @@ def n12(s: S, d: str) -> D:
     return graph.transition(_edges(s, d), star.called(s, d)).withColumn("p", F.round("p", 9))
 
 
-def _unrolled(factors: list[float]) -> str:
-    steps = ", ".join(f"x_u{k} as (select dst id, sum(u * p) u from x_u{k - 1} join x_p on src = id group by 1)" for k in range(1, len(factors)))
-    total = " union all ".join(f"select id, u * {f!r}::double u from x_u{k}" for k, f in enumerate(factors))
-    return f"{P}, x_u0 as (select min(src) id, 1.0::double u from calls), {steps}, x_all as ({total}) select id, round(sum(u), 8) u from x_all group by 1"
-
-
-IMPACT = [exp(-1.5) * 1.5**k / factorial(k) for k in range(9)]
-RANK = [0.15 * 0.85**k for k in range(9)]
+def _diffused(factor: str, steps: int) -> str:
+    """SQL: the sum of factor(k) times the k-th product, k up to ``steps``."""
+    return f"{P}, x_u as (select 0 k, min(src) id, 1.0::double u from calls union all select k + 1, dst, sum(u * p) from x_u join x_p on src = id where k < {steps} group by 1, 2) select id, round(sum(u * {factor}), 8) u from x_u group by 1"
 
 
 def _first(s: S, d: str) -> D:
@@ -219,14 +212,14 @@ def _source(s: S, d: str) -> D:
     return _edges(s, d).agg(F.min("src").alias("id")).where("id is not null")
 
 
-@query("n10_impact", _unrolled(IMPACT))
+@query("n10_impact", _diffused("exp(-1.5) * 1.5 ** k / factorial(k::integer)", 24))
 def n10(s: S, d: str) -> D:
-    return graph.impact(_edges(s, d), star.called(s, d), _source(s, d), terms=len(IMPACT)).withColumn("u", F.round("u", 8))
+    return graph.impact(_edges(s, d), star.called(s, d), _source(s, d)).withColumn("u", F.round("u", 8))
 
 
-@query("n14_personalised_rank", _unrolled(RANK))
+@query("n14_personalised_rank", _diffused("0.15 * 0.85 ** k", 200))
 def n14(s: S, d: str) -> D:
-    return graph.personalised_rank(_edges(s, d), star.called(s, d), _source(s, d), terms=len(RANK)).withColumn("u", F.round("u", 8))
+    return graph.personalised_rank(_edges(s, d), star.called(s, d), _source(s, d)).withColumn("u", F.round("u", 8))
 
 
 @query("w1_bfs_ranking", f"{CLOSURE}, x_s as (select min(id) seed from called), x_h as (select c.id, coalesce(m.hop, 999999) hop from called c left join x_min m on m.id = c.id and m.seed = (select seed from x_s) where c.id <> (select seed from x_s)) select id, hop, row_number() over (order by hop, id) rank from x_h")

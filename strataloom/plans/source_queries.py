@@ -185,7 +185,7 @@ def x15_budget_sweep(s: S, d: str) -> D:
 @query
 def n9_trajectory(s: S, d: str) -> D:
     nodes, edges = control_flow.with_variables(_parsed(s, d))
-    return spectral.trajectory(nodes, edges, steps=4).withColumn("u", F.round("u", 9))
+    return spectral.trajectory(nodes, edges).withColumn("u", F.round("u", 9))
 
 
 @query

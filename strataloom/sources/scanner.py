@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.sources.calls import SQL
-
 EXCLUDED = (".git", "__pycache__", "node_modules", ".venv", "venv", "dist")
 MAX_BYTES = 5 << 20
-#: Words after FROM, INTO or UPDATE that are no tables (fixed values).
+#: Words before a table, and words there that are no tables (fixed values).
+BEFORE_TABLE = ("FROM", "INTO", "UPDATE")
 NO_TABLE = ("SELECT", "SET", "VALUES", "WHERE", "CURSOR", "TABLE", "DUAL")
 PROGRAM_ID = r"(?i)PROGRAM-ID\.\s+([A-Za-z0-9_-]+)"
 
@@ -29,6 +28,16 @@ def kind(path: Column, text: Column) -> Column:
     )
 
 
+def sql_tables(code: Column) -> Column:
+    """The words after FROM, INTO and UPDATE in embedded SQL, without their schema, in upper case."""
+    pieces = F.split(F.upper(code), r"\bEND-EXEC\b")
+    closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    sql = F.array_join(F.transform(closed, lambda p: F.coalesce(F.get(F.split(p, r"\bEXEC\s+SQL\b"), F.lit(1)), F.lit(""))), "\n")
+    words = F.split(F.trim(F.regexp_replace(sql, r"[^A-Z0-9_.:$#@-]+", " ")), " ")
+    named = F.transform(words, lambda w, i: F.when(F.get(words, i - 1).isin(*BEFORE_TABLE), F.regexp_extract(F.substring_index(w, ".", -1), "^[A-Z][A-Z0-9_]*", 0)))
+    return F.filter(named, lambda t: t != "")
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, bytes, lines, kind, detected_id, copybooks, tables, datasets, text) of the files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -38,13 +47,12 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     rows = files.select("path", F.col("length").alias("bytes"), text.alias("text"))
     code = F.col("text")
     found = lambda p, g=1: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(code, F.lit(p), g), F.upper)))
-    sql = F.array_join(F.regexp_extract_all(code, F.lit(SQL), 1), "\n")
-    tables = F.regexp_extract_all(sql, F.lit(r"(?i)\b(?:FROM|INTO|UPDATE)\s+(?:[A-Za-z0-9_]+\.)?([A-Za-z][A-Za-z0-9_]*)"), 1)
+    tables = sql_tables(code)
     return rows.select(
         "path", "bytes", F.size(F.split(code, "\n")).alias("lines"), kind(F.col("path"), code).alias("kind"),
         F.coalesce(F.nullif(F.upper(F.regexp_extract(code, PROGRAM_ID, 1)), F.lit("")), F.upper(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))).alias("detected_id"),
         found(r"(?im)^\s*(?:\d{6})?\s*COPY\s+[\"']?([A-Za-z0-9_-]+)").alias("copybooks"),
-        F.array_sort(F.array_except(F.array_distinct(F.transform(tables, F.upper)), F.array(*[F.lit(x) for x in NO_TABLE]))).alias("tables"),
+        F.array_sort(F.array_except(F.array_distinct(tables), F.array(*[F.lit(x) for x in NO_TABLE]))).alias("tables"),
         found(r"(?i)\bDSN(?:AME)?=([A-Za-z0-9.$#@&-]+)").alias("datasets"), "text",
     )
 

@@ -1,8 +1,8 @@
 """Portfolio graphs read from the star-schema tables.
 
 Suppliers play programs, parts datasets, brands tables and orders jobs; the
-suppliers of an order's lines, one after the other, play calls.  Two windows
-keep the graphs sparse: orders of three days for calls, of thirty for accesses.
+suppliers of an order's lines, one after the other, play calls.  Every order
+and line counts.
 """
 
 from __future__ import annotations
@@ -10,25 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CALL_DAYS = ("1996-01-01", "1996-01-04")
-ACCESS_DAYS = ("1996-01-01", "1996-01-31")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str, days: tuple[str, str]) -> DataFrame:
-    """Line items of the orders of a window."""
-    orders = table(spark, sf_dir, "orders")
-    date = F.col("o_orderdate").cast("timestamp_ntz")
-    orders = orders.where((date >= F.lit(days[0]).cast("timestamp_ntz")) & (date < F.lit(days[1]).cast("timestamp_ntz")))
-    return table(spark, sf_dir, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
-
-
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(job, step, program): an order's lines, one program per line number."""
-    return lines(spark, sf_dir, CALL_DAYS).groupBy(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("step")).agg(F.min("l_suppkey").alias("program"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("step")).agg(F.min("l_suppkey").alias("program"))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +38,7 @@ def called(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(program, resource, kind, mode): parts as datasets, brands as tables (big quantities), orders as jobs."""
-    rows = lines(spark, sf_dir, ACCESS_DAYS)
+    rows = table(spark, sf_dir, "lineitem")
     mode = F.when(F.col("l_returnflag") == "R", "WRITE").otherwise("READ")
     data = rows.select(F.col("l_suppkey").alias("program"), F.concat(F.lit("DSN:"), F.col("l_partkey").cast("string")).alias("resource"), F.lit("dataset").alias("kind"), mode.alias("mode"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
@@ -61,16 +50,13 @@ def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same relations as DuckDB common table expressions.
 SQL = """
-steps as (select l_orderkey job, l_linenumber step, min(l_suppkey) program from lineitem join orders on l_orderkey = o_orderkey
-  where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1996-01-04' group by 1, 2),
+steps as (select l_orderkey job, l_linenumber step, min(l_suppkey) program from lineitem group by 1, 2),
 nxt as (select program src, lead(program) over (partition by job order by step) dst from steps),
 calls as (select src, dst, count(*)::double w from nxt where dst is not null and src <> dst group by 1, 2),
 called as (select src id from calls union select dst from calls),
 programs as (select s_suppkey id from supplier),
-l30 as (select lineitem.* from lineitem join orders on l_orderkey = o_orderkey
-  where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1996-01-31'),
 accesses as (
-  select l_suppkey program, 'DSN:' || l_partkey resource, 'dataset' kind, case when l_returnflag = 'R' then 'WRITE' else 'READ' end mode from l30
-  union select l_suppkey, 'TABLE:' || p_brand, 'table', case when l_returnflag = 'R' then 'WRITE' else 'READ' end from l30 join part on p_partkey = l_partkey where l_quantity >= 45
-  union select l_suppkey, 'JOB:' || l_orderkey, 'job', 'READ' from l30)
+  select l_suppkey program, 'DSN:' || l_partkey resource, 'dataset' kind, case when l_returnflag = 'R' then 'WRITE' else 'READ' end mode from lineitem
+  union select l_suppkey, 'TABLE:' || p_brand, 'table', case when l_returnflag = 'R' then 'WRITE' else 'READ' end from lineitem join part on p_partkey = l_partkey where l_quantity >= 45
+  union select l_suppkey, 'JOB:' || l_orderkey, 'job', 'READ' from lineitem)
 """

@@ -355,7 +355,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int, scratc
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    return scratch.settle(both.mapInArrow(lambda it: _verify(it, percent, size), "a long, b long"), rows=20 * pairs.count())
+    return scratch.settle(both.mapInArrow(lambda it: _verify(it, percent, size), "a long, b long"), rows=50 * pairs.count())
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -463,13 +463,17 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, size: int = SHIN
     mixed = mixed.select("token", F.expr(f"c div {LIST_ROWS} + 1").alias("salts"))
     past = F.expr(f"pos - n + ({percent} * n + 99) div 100").alias("past")  # must be less than l
     side = placed.join(mixed, "token").select("token", "salts", "node", "root", "n", "pos", "sh", "l", past)
+
+    def of(rows: DataFrame, end: str, *more) -> DataFrame:
+        return rows.select("token", *more, *[F.col(c).alias(f"{c}_{end}") for c in side.columns[2:]])
+
     # long lists: one side is dealt over the salts, the other stands at each
-    a = side.select("token", F.expr("pmod(xxhash64(node), salts)").alias("salt"), *[F.col(c).alias(f"{c}_a") for c in side.columns[2:]])
-    b = side.select("token", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in side.columns[2:]])
+    short, long = side.where("salts = 1"), side.where("salts > 1")
+    dealt = of(long, "a", F.expr("pmod(xxhash64(node), salts)").alias("salt")).join(of(long, "b", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt")), ["token", "salt"])
+    met = of(short, "a").join(of(short, "b"), "token").union(dealt.drop("salt"))
     least_l = F.least("l_a", "l_b")
     rest = (
-        a.join(b, ["token", "salt"])
-        .where("root_a < root_b")
+        met.where("root_a < root_b")
         .where(_fits(percent))
         .where((F.col("past_a") < least_l) & (F.col("past_b") < least_l))
         .groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))

@@ -40,7 +40,7 @@ from strataloom.llm.batches import chunks
 
 MARK = "▁"
 #: Fragments of one cache generation; two are kept per Python worker.
-GENERATION = 400_000
+GENERATION = 300_000
 #: Characters up to which a fragment is kept.
 KEPT = 200
 #: One row in so many is checked as a whole text.
@@ -166,24 +166,22 @@ def _fragment_pattern(marks: str, signs: str) -> re.Pattern[str]:
     return re.compile(rf"{MARK}*{letter}++(?=[{m}{border}]|\Z)|{MARK}*[{m}]++(?={letter}|[{border}]|\Z)|{whole}")
 
 
-Coded = tuple[str, str]  # ids joined by commas, marked text
-
-
 class _Memo(dict):
-    """fragment -> Coded, from the generation before or merged anew."""
+    """fragment -> its ids joined by commas, from the generation before or merged anew."""
 
-    def __init__(self, coder: FragmentCoder, old: dict[str, Coded] | None = None):
+    def __init__(self, coder: FragmentCoder, old: dict[str, str] | None = None):
         super().__init__()
         self.coder, self.old = coder, old or {}
 
-    def __missing__(self, fragment: str) -> Coded:
+    def __missing__(self, fragment: str) -> str:
         value = self.old.get(fragment)
         if value is None:
             model = self.coder.model
             ids = model.merge(fragment)
-            marked = model.join_pieces(ids)
-            value = (",".join(map(str, ids)), fragment if marked == fragment else marked)
-            self.coder.fresh.append((fragment, value[0]))
+            if model.join_pieces(ids) != fragment:  # byte fallback and the identity normaliser leave no other way
+                raise AssertionError(f"ids decode to another text than the fragment {fragment[:80]!r}")
+            value = ",".join(map(str, ids))
+            self.coder.fresh.append((fragment, value))
         if len(fragment) <= KEPT:
             self[fragment] = value
         return value
@@ -201,11 +199,11 @@ class FragmentCoder:
         self.rows = 0
 
     def encode(self, text: str) -> tuple[str, str]:
-        """Decimal ids of a text joined by commas, and its decoded form."""
+        """Decimal ids of a text joined by commas, and its decoded form: fragments decode to themselves, space marks to spaces."""
         found = self.model.fragment.findall(MARK + text.replace(" ", MARK)) if text else []
-        known = list(map(self.memo.__getitem__, found))
+        joined = ",".join(map(self.memo.__getitem__, found))
         self.borders.update(zip(map(itemgetter(-1), found), map(itemgetter(0), found[1:]), strict=False))
-        return ",".join([x[0] for x in known]), "".join([x[1] for x in known]).replace(MARK, " ")[1:]
+        return joined, text.replace(MARK, " ")
 
     def check(self, texts: list[str], coded: list[tuple[str, str]]) -> None:
         """Stop if the library differs on a fragment or border met since the last call, or on the whole text of every ``WHOLE``-th row."""

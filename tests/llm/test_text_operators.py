@@ -243,7 +243,7 @@ def test_all_characters_of_pieces_and_numeral_signs(model):
 
 def test_a_wrong_merge_and_a_wrong_border_are_noticed(model):
     one = sentencepieces.FragmentCoder(model)
-    one.memo["▁the"] = ("1,2,3", "▁the")
+    one.memo["▁the"] = "1,2,3"
     with pytest.raises(AssertionError, match="differ"):
         one.check(["see the"], [one.encode("see the")])
     one = sentencepieces.FragmentCoder(model)

@@ -40,7 +40,7 @@ from strataloom.llm.batches import chunks
 
 MARK = "▁"
 #: Fragments of one cache generation; two are kept per Python worker.
-GENERATION = 300_000
+GENERATION = 220_000
 #: Characters up to which a fragment is kept.
 KEPT = 200
 #: One row in so many is checked as a whole text.
@@ -232,7 +232,8 @@ class FragmentCoder:
                 raise AssertionError(f"agenda and library differ on a text of {len(text)} characters that starts with {text[:80]!r}")
         self.rows += len(texts)
         if len(self.memo) > self.generation:
-            self.memo = _Memo(self, dict(self.memo))
+            self.memo.old = {}
+            self.memo = _Memo(self, self.memo)
 
     def _slice(self, marked: str) -> list[int]:
         """The library's ids of a marked slice: behind a newline, which joins with nothing and is cut off again."""

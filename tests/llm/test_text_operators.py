@@ -49,6 +49,35 @@ def test_licence_rules(spark, odd, nothing):
     assert licenses.scan_documents(odd).count() == 11 and licenses.scan_documents(nothing).count() == 0
 
 
+#: A sentence, the identifiers and the licences that it gives.
+STATED = [
+    ("SPDX-License-Identifier: MIT", "tagMIT", "MIT"), ("// SPDX-License-Identifier: Apache-2.0", "tagApache-2.0", "Apache-2.0"), ("spdx-license-identifier: GPL-2.0+", "tagGPL-2.0+", "GPL-2.0-or-later"),
+    ("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC", "tagMIT,tagApache-2.0,tagISC", "Apache-2.0,MIT,ISC"), ("SPDX-License-Identifier: NOASSERTION", "unknown", ""),
+    ("This work is available under CC BY 4.0.", "ccBy4", "CC-BY-4.0"), ("Shared under Creative Commons Attribution-ShareAlike 4.0 terms", "ccBySa4", "CC-BY-SA-4.0"), ("CC0 1.0", "cc0", "CC0-1.0"),
+    ("Its name may not be used, nor may be used to endorse or promote products.", "bsdNames", ""),
+    ("Free software under the terms of the GNU General Public License, version 3 or later.", "gplVersion3Later", "GPL-3.0-or-later"),
+    ("You can use it under the GNU General Public License as published, either version 2 of the License, or (at your option) any later version.", "gplVersion2Later", "GPL-2.0-or-later"),
+    ("Licensed under the GNU Affero General Public License v3.", "agpl3", "AGPL-3.0-only"), ("Licensed under the Apache License 2.0.", "apache2Under", "Apache-2.0"),
+    ("Released under the ISC license", "iscUnder", "ISC"), ("This is free and unencumbered software released into the public domain.", "unlicenseFree", "Unlicense"),
+    ("Eclipse Public License - v 2.0", "eclipse2", "EPL-2.0"), ("Distributed under the Boost Software License, Version 1.0.", "boost1", "BSL-1.0"),
+    ("under the GNU Lesser General Public License, version 2.1", "lgplVersion21", "LGPL-2.1-only"), ("Artistic License 2.0", "artistic2", "Artistic-2.0"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided. The software is provided \"as is\" and the author disclaims all warranties here.", "iscGrant,iscAsIs", "ISC"),
+    ("nothing to see", "", ""), ("Redistri\n * bution is fine", "", ""), ("all\n// rights\n// reserved", "allRights", "AllRightsReserved"),
+]
+
+
+def test_stated_licences(spark):
+    rows = list(enumerate([t for t, _, _ in STATED] + ["Junk before. " + t + " and after." for t, i, _ in STATED if i and "tag" not in i and "unknown" not in i]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_documents(docs).collect()}
+    for i, (_, ids, names) in enumerate(STATED):
+        assert (got[i].sentence_ids, got[i].licenses) == (ids, names), STATED[i]
+    assert all(r.sentence_ids for i, r in got.items() if i >= len(STATED))
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    assert {tuple(r) for r in got.values()} == set(c.sql(licenses.oracle()).fetchall())
+
+
 def test_licence_query_equals_sql(spark):
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{SMALL}/documents.parquet'")

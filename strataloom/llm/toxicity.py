@@ -180,26 +180,42 @@ def _fit(docs: DataFrame, clean: DataFrame, scratch: Scratch, max_rows: int, n_f
     return ToxicModel(keys, weights * ratio, bias, orders)
 
 
+#: N-grams of one task that are counted before they go on.
+_HELD = 2_000_000
+
+
 def _count(batches: Iterator[pa.RecordBatch], orders: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class that hold an n-gram, summed over each slice of a batch."""
+    """Documents of each class that hold an n-gram, summed in the task."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # keys, once for each document that has them, and the document's class
+    size = 0
     for batch in batches:
         for part in chunks(batch):
             points, starts = code_points(*text_buffer(part.column("text")))
             toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             for _, at, key in grams(points, starts, orders):
-                if not len(key):
-                    continue
                 row = np.searchsorted(starts, at, side="right") - 1
                 order = np.argsort(key, kind="stable")  # rows ascend within a key
                 k, r = key[order], row[order]
                 first = np.ones(len(k), dtype=bool)
                 first[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
-                k, y = k[first], toxic[r[first]]
-                edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-                pos = np.add.reduceat(y, edge[:-1])
-                yield pa.RecordBatch.from_pydict(
-                    {"key": k[edge[:-1]].view(np.int64), "pos": pos, "neg": np.diff(edge) - pos}
-                )
+                held.append((k[first], toxic[r[first]].astype(np.int8)))
+                size += len(held[-1][0])
+            if size >= _HELD:
+                yield from _summed(held)
+                held, size = [], 0
+    if size:
+        yield from _summed(held)
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    key, toxic = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(key)
+    key, toxic = key[order], toxic[order].astype(np.int64)
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    pos = np.add.reduceat(toxic, edge[:-1])
+    data = {"key": key[edge[:-1]].view(np.int64), "pos": pos, "neg": np.diff(edge) - pos}
+    for i in range(0, len(pos), 1 << 16):
+        yield pa.RecordBatch.from_pydict({k: v[i : i + (1 << 16)] for k, v in data.items()})
 
 
 def _lists(batches: Iterator[pa.RecordBatch], model: ToxicModel) -> Iterator[pa.RecordBatch]:

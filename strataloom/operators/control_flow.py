@@ -53,6 +53,10 @@ def variables(programs: DataFrame) -> DataFrame:
     return _rows(programs, "variables")
 
 
+def paragraphs(programs: DataFrame) -> DataFrame:
+    return _rows(programs, "paragraphs")
+
+
 def edges(programs: DataFrame) -> DataFrame:
     """All edges (program, src, dst, edge_type, weight, label) of the parsed programs."""
     node, block = nodes(programs), _rows(programs, "edges")

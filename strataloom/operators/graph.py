@@ -382,6 +382,17 @@ def sweep(edges: DataFrame, scores: DataFrame) -> DataFrame:
         scratch.clear()
 
 
+def mirrored(edges: DataFrame) -> DataFrame:
+    """(a, b, w): edges and their mirror images once, a <= b, weights summed."""
+    return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").alias("w"))
+
+
+def top_partners(edges: DataFrame, k: int) -> DataFrame:
+    """(src, dst, w, rank): the k heaviest neighbours of each node, whichever way the edges point."""
+    both = edges.select("src", "dst", "w").union(edges.select("dst", "src", "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))).where(F.col("rank") <= k)
+
+
 def crossing(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """Edges whose ends lie in different parts of ``parts`` (id, part)."""
     return (

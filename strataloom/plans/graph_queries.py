@@ -53,11 +53,6 @@ def a4(s: S, d: str) -> D:
     return graph.stats(star.calls(s, d), star.programs(s, d)).withColumns({"density": F.round("density", 9), "avg_degree": F.round("avg_degree", 6)})
 
 
-@query("a5_type_counts", "select kind, mode, count(*) n, count(distinct program) n_programs from accesses group by 1, 2")
-def a5(s: S, d: str) -> D:
-    return star.accesses(s, d).groupBy("kind", "mode").agg(F.count("*").alias("n"), F.count_distinct("program").alias("n_programs"))
-
-
 @query("a6_call_metrics", "x_r as (select case when dst % 5 = 0 then 'DYNAMIC_UNRESOLVED' when dst % 7 = 0 then 'UNRESOLVED_EXTERNAL' else 'RESOLVED' end status from calls) select count(*) total, count(*) filter (status = 'RESOLVED') resolved, count(*) filter (status = 'UNRESOLVED_EXTERNAL') unresolved, count(*) filter (status = 'DYNAMIC_UNRESOLVED') dynamic, case when count(*) > 0 then round(count(*) filter (status = 'RESOLVED') / count(*), 4) else 1.0 end ratio from x_r")
 def a6(s: S, d: str) -> D:
     status = F.when(F.col("dst") % 5 == 0, "DYNAMIC_UNRESOLVED").when(F.col("dst") % 7 == 0, "UNRESOLVED_EXTERNAL").otherwise("RESOLVED")
@@ -137,18 +132,6 @@ def j11(s: S, d: str) -> D:
     return graph.crossing(_edges(s, d), star.called(s, d).withColumn("part", F.col("id") % 2)).select("src", "dst", "w", "part_src", "part_dst")
 
 
-@query("w5_step_sequence", "select job, lag(step) over (partition by job order by step) before, step, program from steps")
-def w5(s: S, d: str) -> D:
-    return star.steps(s, d).select("job", F.lag("step").over(Window.partitionBy("job").orderBy("step")).alias("before"), "step", "program")
-
-
-@query("j4_fallthrough_anti", "x_f as (select distinct program src, lead(program, 2) over (partition by job order by step) dst from steps) select src, dst from x_f where dst is not null and (src, dst) not in (select src, dst from calls)")
-def j4(s: S, d: str) -> D:
-    nxt = F.lead("program", 2).over(Window.partitionBy("job").orderBy("step"))
-    skip = star.steps(s, d).select(F.col("program").alias("src"), nxt.alias("dst")).where("dst is not null").distinct()
-    return skip.join(_edges(s, d), ["src", "dst"], "left_anti")
-
-
 @query("g1_forward_slice", f"{CLOSURE} select seed, id from x_reach")
 def g1(s: S, d: str) -> D:
     return graph.reach(_edges(s, d), star.called(s, d)).select("seed", "id")
@@ -169,10 +152,11 @@ def g5(s: S, d: str) -> D:
     return graph.strong_components(_edges(s, d), star.called(s, d))
 
 
-@query("g6_reverse_reach", f"{CLOSURE} select distinct id terminal, seed id from x_min where id not in (select src from calls)")
+@query("g6_reverse_reach", f"{CLOSURE} select distinct id terminal, seed id from x_min where id in (select s_suppkey from supplier where s_acctbal < 0)")
 def g6(s: S, d: str) -> D:
+    """What reaches the programs of suppliers in debt."""
     e = _edges(s, d)
-    ends = star.called(s, d).join(e.select(F.col("src").alias("id")), "id", "left_anti")
+    ends = star.called(s, d).join(star.table(s, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("id")), "id", "left_semi")
     return graph.reach(graph.reverse(e), ends).select(F.col("seed").alias("terminal"), "id")
 
 
@@ -240,10 +224,7 @@ def w6(s: S, d: str) -> D:
 
 @query("w10_top_partners", "x_a as (select src, dst, w from calls union all select dst, src, w from calls), x_s as (select src, dst, sum(w) w from x_a group by 1, 2), x_r as (select *, row_number() over (partition by src order by w desc, dst) rank from x_s) select src, dst, w, rank from x_r where rank <= 3")
 def w10(s: S, d: str) -> D:
-    e = _edges(s, d)
-    both = e.union(e.select("dst", "src", "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
-    return both.withColumn("rank", rank).where("rank <= 3")
+    return graph.top_partners(_edges(s, d), 3)
 
 
 @query("u1_union_slice", f"{CLOSURE}, x_s as (select min(id) seed from called) select id from x_min where seed = (select seed from x_s) union select seed from x_min where id = (select seed from x_s)")
@@ -252,12 +233,6 @@ def u1(s: S, d: str) -> D:
     return graph.reach(e, first).select("id").union(graph.reach(graph.reverse(e), first).select("id")).distinct()
 
 
-@query("u3_unresolved", "select distinct resource from accesses where kind = 'dataset' and mode = 'READ' except select resource from accesses where mode = 'WRITE'")
-def u3(s: S, d: str) -> D:
-    a = star.accesses(s, d)
-    return a.where("kind = 'dataset' and mode = 'READ'").select("resource").subtract(a.where("mode = 'WRITE'").select("resource"))
-
-
 @query("u4_mirrored_pairs", "select least(src, dst) a, greatest(src, dst) b, sum(w) w from calls group by 1, 2")
 def u4(s: S, d: str) -> D:
-    return _edges(s, d).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").alias("w"))
+    return graph.mirrored(_edges(s, d))

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from strataloom import storage
 from strataloom.operators import control_flow, cycles, evidence, idioms, portfolio, reports, runtime, slicing, spectral
-from strataloom.sources import calls, generated, jcl, star
+from strataloom.plans import source_sql
+from strataloom.sources import calls, generated, jcl, scanner, star
 from strataloom.sources.star import table
 from strataloom.streaming import limits
 
 S, D = SparkSession, DataFrame
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(source_sql.SQL)
 
 
 def query(f):
@@ -25,9 +26,80 @@ def _parsed(s: S, d: str) -> D:
     return storage.settle(control_flow.parsed(generated.programs(s, d)))
 
 
+def _joined(df: D, *columns: str) -> D:
+    return df.withColumns({c: F.array_join(c, ",") for c in columns})
+
+
+@query
+def p2_program_id(s: S, d: str) -> D:
+    return _parsed(s, d).select("program", "program_id")
+
+
+@query
+def p3_variables(s: S, d: str) -> D:
+    return control_flow.variables(_parsed(s, d))
+
+
+@query
+def p4_paragraphs(s: S, d: str) -> D:
+    return _joined(control_flow.paragraphs(_parsed(s, d)), "exits")
+
+
 @query
 def p5_statements(s: S, d: str) -> D:
-    return control_flow.nodes(_parsed(s, d))
+    """Cleaned, cut, assembled and classified statements, with what they read, write and touch."""
+    return _joined(control_flow.nodes(_parsed(s, d)), "reads", "writes", "tables").select("program", "id", "node_type", "paragraph", "code", "reads", "writes", "line", "tables")
+
+
+def _linked(s: S, d: str, kind: str) -> D:
+    return control_flow.edges(_parsed(s, d)).where(F.col("edge_type") == kind).select("program", "src", "dst")
+
+
+@query
+def j2_calls(s: S, d: str) -> D:
+    return _linked(s, d, "cfg_call")
+
+
+@query
+def j3_returns(s: S, d: str) -> D:
+    return _linked(s, d, "cfg_return")
+
+
+@query
+def j4_fallthrough(s: S, d: str) -> D:
+    return _linked(s, d, "cfg_fallthrough")
+
+
+@query
+def j5_variable_edges(s: S, d: str) -> D:
+    edges = control_flow.with_variables(_parsed(s, d))[1]
+    return edges.where(F.col("edge_type").isin("dfg_read", "dfg_write")).select("program", "src", "dst", "edge_type")
+
+
+@query
+def a10_verb_histogram(s: S, d: str) -> D:
+    return reports.unsupported_verbs(_parsed(s, d))
+
+
+def _estate(s: S, d: str) -> D:
+    return scanner.describe(generated.estate(s, d))
+
+
+@query
+def s2_classify(s: S, d: str) -> D:
+    return _estate(s, d).select("path", "kind", "detected_id")
+
+
+@query
+def s3_references(s: S, d: str) -> D:
+    kinds = (("table", "tables"), ("copybook", "copybooks"), ("dataset", "datasets"))
+    found = F.flatten(F.array(*[F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("reference"))) for kind, c in kinds]))
+    return _estate(s, d).select("path", F.explode(found).alias("r")).select("path", "r.*")
+
+
+@query
+def u3_unresolved(s: S, d: str) -> D:
+    return scanner.unresolved_copybooks(_estate(s, d))
 
 
 @query
@@ -102,7 +174,9 @@ def x5_equivalence(s: S, d: str) -> D:
 
 @query
 def s6_job_cards(s: S, d: str) -> D:
-    return jcl.parsed(generated.jobs(s, d))
+    cards = jcl.parsed(generated.jobs(s, d))
+    said = F.array_join(F.transform("conditions", lambda c: F.concat_ws(" ", c["code"].cast("string"), c["op"])), ",")
+    return cards.select("job_file", "job", "step_seq", "step", "program", "dd", "dsn", "disp", "intent", "line", said.alias("conditions"))
 
 
 @query
@@ -115,20 +189,50 @@ def p16_accesses(s: S, d: str) -> D:
     return calls.accesses(generated.programs(s, d))
 
 
+def _portfolio(s: S, d: str) -> tuple[D, D]:
+    """(nodes, edges) of the generated programs and jobs, settled."""
+    nodes, edges = portfolio.build(generated.programs(s, d), generated.jobs(s, d))
+    return storage.settle(nodes), storage.settle(edges)
+
+
 @query
 def g12_portfolio(s: S, d: str) -> D:
     return portfolio.build(generated.programs(s, d), generated.jobs(s, d))[1]
 
 
+@query
+def a5_type_counts(s: S, d: str) -> D:
+    return portfolio.type_counts(*_portfolio(s, d))
+
+
+@query
+def w5_step_sequence(s: S, d: str) -> D:
+    return g12_portfolio(s, d).where("edge_type = 'STEP_SEQUENCE'").select("src", "dst")
+
+
+@query
+def j8_step_programs(s: S, d: str) -> D:
+    return g12_portfolio(s, d).where("edge_type = 'STEP_EXEC'").select("src", "dst")
+
+
+@query
+def j9_resource_map(s: S, d: str) -> D:
+    return portfolio.accesses(_portfolio(s, d)[1])
+
+
+@query
+def g11_call_cycles(s: S, d: str) -> D:
+    return portfolio.call_cycles(_portfolio(s, d)[1])
+
+
 @query
 def g14_portfolio_metrics(s: S, d: str) -> D:
-    nodes, edges = portfolio.build(generated.programs(s, d), generated.jobs(s, d))
-    return portfolio.metrics(storage.settle(nodes), storage.settle(edges))
+    return portfolio.metrics(*_portfolio(s, d))
 
 
 @query
 def n17_partitions(s: S, d: str) -> D:
-    nodes, edges = (storage.settle(x) for x in portfolio.build(generated.programs(s, d), generated.jobs(s, d)))
+    nodes, edges = _portfolio(s, d)
     return portfolio.partitions(nodes, edges).withColumn("conductance", F.round("conductance", 6))
 
 
@@ -165,8 +269,7 @@ def x14_corpus(s: S, d: str) -> D:
 
 @query
 def x16_dossier(s: S, d: str) -> D:
-    nodes, edges = (storage.settle(x) for x in portfolio.build(generated.programs(s, d), generated.jobs(s, d)))
-    return reports.dossier(nodes, edges)
+    return reports.dossier(*_portfolio(s, d))
 
 
 @query

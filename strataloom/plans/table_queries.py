@@ -24,12 +24,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("a10_verb_histogram", "select event_type verb, count(*) n, round(count(*) / sum(count(*)) over (), 6) share, round(avg(value), 6) mean_value from events group by 1")
-def a10(s: S, d: str) -> D:
-    per = table(s, d, "events").groupBy(F.col("event_type").alias("verb")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
-    return per.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
-
-
 def _halves(s: S, d: str) -> tuple[D, D]:
     e = table(s, d, "events")
     return e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
@@ -52,14 +46,6 @@ def w7(s: S, d: str) -> D:
     return compare.divergence(*[h.select("user_id", pos.alias("pos"), F.col("event_type").alias("item")) for h in _halves(s, d)], ["user_id"])
 
 
-@query("w8_followed_by", "with n as (select user_id, event_id, event_type, lead(event_type) over w n1, lead(event_type, 2) over w n2 from events window w as (partition by user_id order by event_id)) select user_id, count(*) n, count(*) filter (n1 in ('view', 'click') or n2 in ('view', 'click')) followed from n where event_type = 'error' group by 1")
-def w8(s: S, d: str) -> D:
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    nxt = [F.lead("event_type", k).over(w).alias(f"n{k}") for k in (1, 2)]
-    rows = table(s, d, "events").select("user_id", "event_type", *nxt).where("event_type = 'error'")
-    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("n1").isin("view", "click") | F.col("n2").isin("view", "click")).alias("followed"))
-
-
 def _vectors(s: S, d: str) -> D:
     return table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
 
@@ -99,13 +85,6 @@ def a14(s: S, d: str) -> D:
     return rows.groupBy("lang").agg(*[e.alias(n) for n, e in m.items()])
 
 
-@query("a15_equivalence", "with p as (select c_nationkey, count(*) n, count(*) filter (c_acctbal >= 0) passed from customer group by 1) select c_nationkey, n, passed, round(passed / n, 6) rate, case when passed = n then 'VERIFIED' when passed > 0 then 'PARTIAL' else 'REFUTED' end status from p")
-def a15(s: S, d: str) -> D:
-    per = table(s, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") >= 0).alias("passed"))
-    status = F.when(F.col("passed") == F.col("n"), "VERIFIED").when(F.col("passed") > 0, "PARTIAL").otherwise("REFUTED")
-    return per.select("c_nationkey", "n", "passed", F.round(F.col("passed") / F.col("n"), 6).alias("rate"), status.alias("status"))
-
-
 @query("a19_digest", "select sha256(array_to_string(list_sort(list(n_nationkey || '|' || n_name || '|' || n_regionkey)), ',')) digest, count(*) n from nation")
 def a19(s: S, d: str) -> D:
     return facts.digest(table(s, d, "nation"), "n_nationkey", "n_name", "n_regionkey")
@@ -116,14 +95,6 @@ def a20(s: S, d: str) -> D:
     return table(s, d, "events").select("event_id", facts.content_id(F.col("event_id"), F.col("user_id"), F.col("event_type"), F.col("props")).alias("content_id"))
 
 
-@query("j5_declared_reads", "select event_id, user_id, event_type from events where event_type in (select event_type from events group by 1 having avg(value) > (select avg(value) from events))")
-def j5(s: S, d: str) -> D:
-    e = table(s, d, "events")
-    mean = e.agg(F.avg("value").alias("mean"))
-    declared = e.groupBy("event_type").agg(F.avg("value").alias("v")).join(mean).where("v > mean").select("event_type")
-    return e.join(declared, "event_type", "left_semi").select("event_id", "user_id", "event_type")
-
-
 @query("j12_anchor_remap", "with a as (select item_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') anchor from benchmark) select doc_id, item_id from documents join a on contains(' ' || text || ' ', ' ' || anchor || ' ')")
 def j12(s: S, d: str) -> D:
     """Documents that hold the first eight words of a benchmark passage: an equi-join on word windows."""
@@ -177,31 +148,12 @@ def p18(s: S, d: str) -> D:
     return table(s, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("p2_program_id", "select page_id, upper(regexp_extract(url, '^https?://([a-zA-Z0-9.-]+)', 1)) program, regexp_extract(html, '<title>([^<]*)</title>', 1) title from pages")
-def p2(s: S, d: str) -> D:
-    return table(s, d, "pages").select("page_id", F.upper(F.regexp_extract("url", "^https?://([a-zA-Z0-9.-]+)", 1)).alias("program"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
 @query("p17_verbs", r"select conv_id, turn, regexp_replace(string_split_regex(trim(text, ' '), '\s+')[1], '\.$', '') verb from conversations where text is not null")
 def p17(s: S, d: str) -> D:
     verb = text.first_verb(F.col("text"), F.col("role"), F.lit("turn"))
     return table(s, d, "conversations").where("text is not null").select("conv_id", "turn", verb.alias("verb"))
 
 
-@query("s2_classify", "select page_id, case when regexp_matches(url, '/fr/') then 'FR' when regexp_matches(url, '/de/') then 'DE' when regexp_matches(url, '/es/') then 'ES' when regexp_matches(url, '/en/') then 'EN' when contains(html, 'lang=\"') then upper(regexp_extract(html, 'lang=\"([a-z]+)\"', 1)) else 'UNKNOWN' end kind from pages")
-def s2(s: S, d: str) -> D:
-    kind = F
-    for lang in ("fr", "de", "es", "en"):
-        kind = kind.when(F.col("url").rlike(f"/{lang}/"), lang.upper())
-    kind = kind.when(F.col("html").contains('lang="'), F.upper(F.regexp_extract("html", 'lang="([a-z]+)"', 1))).otherwise("UNKNOWN")
-    return table(s, d, "pages").select("page_id", kind.alias("kind"))
-
-
-@query("s3_references", "select page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) ref from pages")
-def s3(s: S, d: str) -> D:
-    return table(s, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))).alias("ref"))
-
-
 @query("s9_conditions", "select o_orderkey, o_orderpriority, case left(o_orderpriority, 1) when '1' then 4 < rc when '2' then 4 <= rc when '3' then 4 = rc when '4' then 4 > rc else false end bypass from (select *, (o_orderkey % 9)::int rc from orders)")
 def s9(s: S, d: str) -> D:
     from strataloom.sources.jcl import bypass

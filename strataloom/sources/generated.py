@@ -34,7 +34,7 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(job_file, text): a job per order of the call window, a step per line of it."""
+    """(job_file, text): a job per order, a step per line of it."""
     step = star.steps(spark, sf_dir)
     pgm = F.concat(F.lit("PGM"), F.lpad(F.col("program").cast("string"), 6, "0"))
     card = F.concat(
@@ -44,3 +44,13 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = step.groupBy("job").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", card.alias("c")))), lambda x: x["c"]), "\n").alias("body"))
     name = F.concat(F.lit("J"), F.lpad(F.col("job").cast("string"), 7, "0"))
     return rows.select(F.concat(name, F.lit(".jcl")).alias("job_file"), F.concat(F.lit("//"), name, F.lit(" JOB (ACCT),CLASS=A\n"), "body").alias("text"))
+
+
+def estate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, bytes, text): the programs, each with a COPY of one of seven members, five of which are there, and the jobs as files."""
+    copy = F.concat(F.lit("\n       COPY REC"), (F.substring("program", 4, 6).cast("int") % 7).cast("string"), F.lit("."))
+    sources = programs(spark, sf_dir).select(F.concat(F.lit("cbl/"), "program", F.lit(".cbl")).alias("path"), F.concat("source", copy).alias("text"))
+    member = F.concat(F.lit("REC"), F.col("id").cast("string"))
+    members = spark.range(5).select(F.concat(F.lit("cpy/"), member, F.lit(".cpy")).alias("path"), F.concat(F.lit("       01 "), member, F.lit(" PIC X.")).alias("text"))
+    cards = jobs(spark, sf_dir).select(F.concat(F.lit("jcl/"), "job_file").alias("path"), "text")
+    return sources.union(members).union(cards).select("path", F.octet_length("text").cast("long").alias("bytes"), "text")

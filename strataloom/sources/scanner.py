@@ -43,8 +43,11 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     files = files.where((F.col("length") > 0) & (F.col("length") <= MAX_BYTES))
     files = files.where(~F.col("path").rlike("/(" + "|".join(x.replace(".", r"\.") for x in EXCLUDED) + ")/"))
-    text = F.decode("content", "UTF-8")
-    rows = files.select("path", F.col("length").alias("bytes"), text.alias("text"))
+    return describe(files.select("path", F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("text")))
+
+
+def describe(rows: DataFrame) -> DataFrame:
+    """Kind, id and references of files (path, bytes, text)."""
     code = F.col("text")
     found = lambda p, g=1: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(code, F.lit(p), g), F.upper)))
     tables = sql_tables(code)

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from strataloom.operators import control_flow, cycles, idioms, runtime, slicing, spectral
+from strataloom.operators import control_flow, cycles, idioms, portfolio, runtime, slicing, spectral
 from strataloom.sources import calls, cobol, copybooks, jcl
 from strataloom.sources.tokens import Phrase, mentions
 
@@ -230,6 +230,35 @@ def test_spectra():
     assert np.allclose(got, 2 - 2 * np.cos(np.pi * np.arange(4) / n), atol=1e-7)
 
 
+def test_fiedler_vectors():
+    rng = np.random.default_rng(3)
+    n = 2_100  # above the dense limit: two clusters with three bridges
+    ids = [f"n{k:05d}" for k in range(n)]
+    half = n // 2
+    pairs = [(ids[k], ids[(k + 1) % half]) for k in range(half)] + [(ids[half + k], ids[half + (k + 1) % half]) for k in range(half)]
+    pairs += [(ids[a], ids[b]) for base in (0, half) for a, b in (base + rng.integers(0, half, (4 * half, 2))) if a != b] + [(ids[7 * k], ids[half + 11 * k]) for k in range(3)]
+    field = spectral.GraphField(ids, [a for a, _ in pairs], [b for _, b in pairs], [1.0] * len(pairs))
+    v = spectral.fiedler_vector(field)
+    exact = np.linalg.eigh(field.laplacian.dense())[1][:, 1]
+    assert abs(v @ exact) > 1 - 1e-6 and len(set(np.sign(v[:half]))) == len(set(np.sign(v[half:]))) == 1
+    apart = spectral.GraphField(list("abcdef"), list("abde"), list("bcef"), [1.0] * 4)
+    got = spectral.fiedler_vector(apart)
+    assert got[3:].tolist() == [-2.0] * 3 and np.allclose(np.abs(got[:3]), [2**-0.5, 0, 2**-0.5])
+
+
+def test_cuts_of_two_clusters(spark):
+    """Two chains of programs with one call between, a table on both sides: the best cut crosses that call."""
+    calls = [("A1", "A2"), ("A2", "A3"), ("A1", "A3"), ("A3", "B1"), ("B1", "B2"), ("B2", "B3"), ("B1", "B3")]
+    rows = [(f"PGM:{a}", f"PGM:{b}", "CALL_DYNAMIC" if (a, b) == ("A3", "B1") else "CALL_RESOLVED", 1.0, "OBSERVED") for a, b in calls]
+    edges = spark.createDataFrame(rows, "src string, dst string, edge_type string, w double, status string")
+    nodes = edges.selectExpr("src id").union(edges.selectExpr("dst")).distinct().selectExpr("id", "'program' node_type")
+    best = portfolio.partitions(nodes, edges).where("cut_no = 1").first()
+    assert (best.cut, best.crossing, best.programs_a, best.programs_b, best.tx_violations, best.uncertainty) == (1.0, 1, 3, 3, 0, 1.0)
+    assert portfolio.call_cycles(edges).isEmpty()
+    loop = edges.union(spark.createDataFrame([("PGM:B3", "PGM:B1", "CALL_RESOLVED", 1.0, "OBSERVED")], edges.schema))
+    assert {(r.id, r["size"]) for r in portfolio.call_cycles(loop).collect()} == {("PGM:B1", 3), ("PGM:B2", 3), ("PGM:B3", 3)}
+
+
 def test_slices_and_idioms(programs):
     nodes, edges = control_flow.nodes(programs), control_flow.edges(programs)
     seeds = slicing.find_seeds(nodes.where("program = 'till'"), variable="WS-STATE")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom import storage
-from strataloom.operators import control_flow, cycles, evidence, idioms, portfolio, reports, runtime, slicing, spectral
+from strataloom.operators import benchmark, control_flow, cycles, evidence, idioms, portfolio, reports, runtime, slicing, spectral
 from strataloom.plans import source_sql
 from strataloom.sources import calls, generated, jcl, scanner, star
 from strataloom.sources.star import table
@@ -165,11 +165,26 @@ def x4_mutations(s: S, d: str) -> D:
 
 @query
 def x5_equivalence(s: S, d: str) -> D:
-    """Programs against a candidate with the limit test moved, over three cases."""
+    """Programs against a candidate that adds 11 in place of 10, over three cases, with an invariant that the error path breaks."""
     base = _cases(s, d)
     other = base.withColumn("source", F.replace("source", F.lit("ADD 10 TO"), F.lit("ADD 11 TO")))
-    runs = runtime.compare_runs(runtime.execute(base, max_steps=500), runtime.execute(other, max_steps=500))
-    return runs.groupBy("program").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "PASS").alias("passed"), F.round(F.avg((F.col("status") == "PASS").cast("int")), 6).alias("rate"))
+    now = storage.settle(runtime.execute(other, max_steps=500))
+    rule = base.select("program", "case_id", F.lit("no error code").alias("name"), F.lit("WS-COUNT < 9").alias("expression"))
+    runs = runtime.compare_runs(runtime.execute(base, max_steps=500), now, violated=runtime.violations(now, rule))
+    return runs.select("program", "case_id", "status")
+
+
+@query
+def a15_equivalence(s: S, d: str) -> D:
+    """Share of cases in which the candidate does as its original, by program."""
+    return runtime.verified(x5_equivalence(s, d))
+
+
+@query
+def x4_benchmark(s: S, d: str) -> D:
+    """How well slices ranked by hops, by diffusion and at random foresee what mutants change."""
+    p = _parsed(s, d)
+    return benchmark.summary(benchmark.experiments(control_flow.nodes(p), control_flow.edges(p), generated.programs(s, d)))
 
 
 @query

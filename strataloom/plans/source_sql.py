@@ -110,7 +110,9 @@ SQL = {
     "x8_graph_digests": f"""with {PROGRAMS}, {EDGES}, x_row as (select program, 'n|' || id || '|' || node_type r from x_node union all select program, 'e|' || src || '|' || dst || '|' || edge_type || '|' || weight::varchar from x_edge)
         select program, sha256(array_to_string(list_sort(list(r)), chr(10))) digest from x_row group by 1""",
     "x1_runs": f"with {PROGRAMS}, {RUNS} select program, case_id, case when paid and c then 500 when paid then 12 else 11 end steps, paid and c timed_out, 4 n_vars from x_run",
-    "x5_equivalence": f"with {PROGRAMS}, {RUNS} select program, count(*) n, count(*) filter (a and not (paid and c)) passed, round(count(*) filter (a and not (paid and c)) / count(*), 6) rate from x_run group by 1",
+    "x5_equivalence": f"with {PROGRAMS}, {RUNS} select program, case_id, case when paid and c then 'TIMEOUT' when not paid then 'INVARIANT_VIOLATION' when a then 'PASS' else 'DIVERGED' end status from x_run",
+    "a15_equivalence": f"""with {PROGRAMS}, {RUNS}, x_v as (select program, count(*) n, count(*) filter (paid and not c and a) passed from x_run group by 1)
+        select program, n, passed, round(passed / n, 6) rate, case when passed = n then 'OBSERVED_VERIFIED' else 'OBSERVED_DIVERGED' end status from x_v""",
     "a10_verb_histogram": f"with {PROGRAMS} select 'DISPLAY' verb, count(*) n from x_pgm having count(*) > 0 union all select 'CALL', count(*) from x_pgm where b having count(*) > 0",
     "p16_accesses": f"""with {PROGRAMS} select program, 'DB2_TABLE' resource_type, 'ACCOUNTS' resource, 'SELECT' operation, 'READ' "mode", 21 line from x_pgm where a
         union all select program, 'DB2_TABLE', 'LEDGER', 'UPDATE', 'WRITE', 29 from x_pgm where not b""",

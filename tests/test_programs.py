@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from strataloom.operators import control_flow, cycles, idioms, portfolio, runtime, slicing, spectral
+from strataloom.operators import benchmark, control_flow, cycles, idioms, portfolio, runtime, slicing, spectral
 from strataloom.sources import calls, cobol, copybooks, jcl
 from strataloom.sources.tokens import Phrase, mentions
 
@@ -99,6 +100,50 @@ def test_runs_and_mutants(spark, programs):
     assert families == {"ARITHMETIC", "COMPARISON", "CALL"}
 
 
+def test_invariants_come_before_differences(spark):
+    cases = spark.createDataFrame([("till", c, TILL, o) for c, o in (("a", "{}"), ("b", '{"WS-DUE": 500}'))], "program string, case_id string, source string, overrides string")
+    other = cases.withColumn("source", F.replace("source", F.lit("SUBTRACT WS-DUE FROM"), F.lit("ADD WS-DUE TO")))
+    now = runtime.execute(other).cache()
+    rules = cases.select("program", "case_id", F.lit("small").alias("name"), F.lit("WS-CASH <= 100").alias("expression"))
+    broken = runtime.violations(now, rules)
+    assert [(r.case_id, r.violated) for r in broken.collect()] == [("a", "small")]
+    got = runtime.compare_runs(runtime.execute(cases), now, violated=broken)
+    assert {r.case_id: r.status for r in got.collect()} == {"a": "INVARIANT_VIOLATION", "b": "PASS"}
+    assert runtime.verified(got).first().asDict() == {"program": "till", "n": 2, "passed": 1, "rate": 0.5, "status": "OBSERVED_DIVERGED"}
+
+
+def test_mutation_benchmark(spark, programs):
+    """Truth and metrics of one mutant against a plain computation."""
+    sources = spark.createDataFrame([("till", TILL)], "program string, source string")
+    nodes, edges = (f(programs).where("program = 'till'").cache() for f in (control_flow.nodes, control_flow.edges))
+    rows = benchmark.experiments(nodes, edges, sources)
+    case = "PAY-OUT:L25_SUBTRACT/ARITHMETIC"
+    got = {r.method: r.ap for r in rows.where(F.col("case_id") == case).collect()}
+    assert got == dict.fromkeys(("bfs", "diffusion", "random"), 0.0)  # only the changed statement itself runs under another name
+    case = "CHECK-DUE:L19_IF/COMPARISON"
+    base, mutant = (runtime.Machine(x).run(max_steps=100) for x in (TILL, TILL.replace("LESS THAN", "GREATER THAN")))
+    assert mutant["trace"] != base["trace"]
+    truth = {i for i in {*base["trace"], *mutant["trace"]} if base["trace"].count(i) != mutant["trace"].count(i)}
+    diff = {v for v in base["variables"] if base["variables"][v] != mutant["variables"].get(v)}
+    truth |= {r.id for r in nodes.collect() if set(r.writes) & diff}
+    truth.discard("CHECK-DUE:L19_IF")
+    hop, front, after = {}, {"CHECK-DUE:L19_IF"}, {}
+    for r in edges.collect():
+        after.setdefault(r.src, set()).add(r.dst)
+    step = 0
+    while front:
+        step += 1
+        front = {y for x in front for y in after.get(x, ())} - set(hop) - {"CHECK-DUE:L19_IF"}
+        hop |= dict.fromkeys(front, step)
+    order = sorted(hop, key=lambda i: (hop[i], i))
+    hits = [i in truth for i in order]
+    want = sum(sum(hits[: k + 1]) / (k + 1) for k, h in enumerate(hits) if h) / len(truth)
+    r = rows.where((F.col("case_id") == case) & (F.col("method") == "bfs")).first()
+    assert math.isclose(r.ap, want) and math.isclose(r.p3, sum(hits[:3]) / min(3, len(hits))) and math.isclose(r.rr, 1 / (1 + hits.index(True)))
+    total = benchmark.summary(rows).collect()
+    assert {x.method for x in total} == {"bfs", "diffusion", "random"} and {x.verdict for x in total} == {"INCONCLUSIVE_INSUFFICIENT_SAMPLES"}
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [("A + 2 * B", 8), ("(A + 2) * B", 12), ("A = 2 AND B > 5", False), ("A = 2 OR B > 5", True), ("NOT A = 2", False), ("'x' = 'x'", True), ("1 / 0", 0), ("UNKNOWN", 0), ("-A + B", 1)],

@@ -72,6 +72,8 @@ _SKETCH_PARTS = 32
 FILTER_BITS = 1 << 25
 #: Entries of a list that one task of the second join holds against the whole list.
 LIST_ROWS = 2_048
+#: Shingles before a shingle that a list entry carries at most; entries with more of them carry none, and their pairs are all verified.
+EARLIER = 32
 _SALT_LIMIT = 12
 #: Buckets of a signature; sets of more than ``SIGNATURE_LIMIT`` have none (one byte per bucket) and always pass.
 SIGNATURE, SIGNATURE_LIMIT = 128, 10_000
@@ -398,11 +400,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         e = scratch.settle(small.where("u <> v").distinct(), rows=2 * now[0])
 
 
-def _fits(percent: int) -> str:
-    """SQL: sets of n_a and n_b that meet at pos_a and pos_b, the sh_a-th and sh_b-th of their shared shingles, may link."""
+def _fits(percent: int, common: str = "least(sh_a, sh_b)") -> str:
+    """SQL: sets of n_a and n_b that meet at pos_a and pos_b may link, with ``common`` common shingles at most up to there.
+
+    By default that is the rank of the shingle among the shared ones of either
+    set; it is l for the first l common ones, which all have o - l common
+    shingles behind them if o is the overlap that linked sets need.
+    """
     return (
         f"100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a"
-        f" and least(sh_a, sh_b) + least(n_a - 1 - pos_a, n_b - 1 - pos_b)"
+        f" and {common} + least(n_a - 1 - pos_a, n_b - 1 - pos_b)"
         f" >= ({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
     )
 
@@ -463,6 +470,10 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, size: int = SHIN
     mixed = mixed.select("token", F.expr(f"c div {LIST_ROWS} + 1").alias("salts"))
     past = F.expr(f"pos - n + ({percent} * n + 99) div 100").alias("past")  # must be less than l
     side = placed.join(mixed, "token").select("token", "salts", "node", "root", "n", "pos", "sh", "l", past)
+    # the shingles before a shingle in its node's lists, where those are few: a pair is met once, at its l-th common shingle
+    earlier = Window.partitionBy("node").orderBy("pos")
+    known = F.row_number().over(earlier) <= EARLIER + 1
+    side = side.withColumn("prev", F.when(known, F.collect_list("token").over(earlier.rowsBetween(-EARLIER, -1))))
 
     def of(rows: DataFrame, end: str, *more) -> DataFrame:
         return rows.select("token", *more, *[F.col(c).alias(f"{c}_{end}") for c in side.columns[2:]])
@@ -472,14 +483,15 @@ def join_components(docs: DataFrame, *, percent: int = PERCENT, size: int = SHIN
     dealt = of(long, "a", F.expr("pmod(xxhash64(node), salts)").alias("salt")).join(of(long, "b", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt")), ["token", "salt"])
     met = of(short, "a").join(of(short, "b"), "token").union(dealt.drop("salt"))
     least_l = F.least("l_a", "l_b")
+    common = F.size(F.array_intersect("prev_a", "prev_b"))
     rest = (
         met.where("root_a < root_b")
+        .where(_fits(percent, "least(l_a, l_b)"))
         .where(_fits(percent))
         .where((F.col("past_a") < least_l) & (F.col("past_b") < least_l))
-        .groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-        .agg(F.count("*").alias("matches"), F.max(least_l).alias("l"))
-        .where("matches >= l")
-        .select("a", "b")
+        .where(F.col("prev_a").isNull() | F.col("prev_b").isNull() | (common == least_l - 1))
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        .distinct()
     )
     more = _verified(only, scratch.settle(_promising(rest, sigs, percent), rows=n_shared), percent, size, scratch)
     labels = components(links.union(more), scratch)

@@ -56,6 +56,14 @@ def from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("reason is null").select("e.*"), checked.where("reason is not null").select("value", "reason")
 
 
+def bounded(lines: DataFrame, *, most: int = MAX_EVENTS, most_bytes: int = MAX_BYTES) -> DataFrame:
+    """The lines of one exchanged file; more than ``most`` events or ``most_bytes`` bytes are an error."""
+    size = lines.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes")).first()
+    if size.n > most or size["bytes"] > most_bytes:
+        raise ValueError(f"a file holds {most} events of {most_bytes} bytes at most, this one has {size.n} of {size['bytes']}")
+    return lines
+
+
 def finding_counts(findings: DataFrame) -> DataFrame:
     """(counts): one map from kind to number of findings (kind)."""
     per = findings.groupBy("kind").agg(F.count("*").alias("n"))

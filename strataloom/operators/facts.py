@@ -11,10 +11,25 @@ def content_id(*parts: Column, sep: str = "|") -> Column:
     return F.sha2(F.concat_ws(sep, *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def two_level_digest(rows: DataFrame) -> DataFrame:
+    """(digest, n) of a relation (row: text), whatever its order.
+
+    Equal rows count by number.  Rows are dealt into 4096 buckets by the first
+    three signs of their SHA-256, a bucket's digest is over its sorted (hash,
+    number) pairs, and the whole is over the buckets' digests in order.
+    """
+    h = F.sha2(F.col("row").cast("binary"), 256)
+    each = rows.groupBy(h.alias("h")).agg(F.count("*").alias("n")).withColumn("bucket", F.substring("h", 1, 3))
+    text = F.concat_ws(":", "h", F.col("n").cast("string"))
+    inner = each.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), ","), 256).alias("d"), F.sum("n").alias("n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ",")
+    return inner.agg(F.sha2(whole, 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def digest(rows: DataFrame, *columns: str) -> DataFrame:
-    """One order-independent digest of a small relation: SHA-256 over its sorted row texts."""
+    """One order-independent digest of a relation."""
     row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return rows.select(row.alias("r")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("r")), ","), 256).alias("digest"), F.count("*").alias("n"))
+    return two_level_digest(rows.select(row.alias("row")))
 
 
 def reconcile(facts: DataFrame, anchors: DataFrame, snapshot: str) -> DataFrame:

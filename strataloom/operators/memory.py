@@ -10,7 +10,7 @@ from strataloom.operators import facts
 #: Columns of a fact.
 FACT = "fact_id string, status string, claim string, snapshot string, paragraph string, signature string, evidence_ids array<string>, stale boolean, reason string"
 STATUSES = ("OBSERVED", "INFERRED", "VERIFIED", "REJECTED")
-MAX_FACTS = 10_000
+MAX_FACTS, MAX_BYTES = 10_000, 10 << 20
 
 
 def create(claims: DataFrame) -> DataFrame:
@@ -26,7 +26,11 @@ def create(claims: DataFrame) -> DataFrame:
 
 
 def write(memory: DataFrame, path: str) -> None:
-    """One JSON line per fact."""
+    """One JSON line per fact, at most ``MAX_FACTS`` of ``MAX_BYTES`` together."""
+    line = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    size = memory.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(line) + 1), F.lit(0)).alias("bytes")).first()
+    if size.n > MAX_FACTS or size["bytes"] > MAX_BYTES:
+        raise ValueError(f"a memory holds {MAX_FACTS} facts of {MAX_BYTES} bytes at most, this one has {size.n} of {size['bytes']}")
     memory.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(path)
 
 
@@ -47,18 +51,28 @@ def counts(memory: DataFrame) -> DataFrame:
     return memory.agg(F.count("*").alias("facts"), F.count_if(~F.col("stale")).alias("active"), F.count_if("stale").alias("stale"))
 
 
+def _newest(spark: SparkSession, out_path: str, number: int) -> str | None:
+    """The newest finished version before a number."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out_path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    done = [n for n in names if n.startswith("v") and n[1:].isdigit() and int(n[1:]) < number and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{out_path}/{n}/_SUCCESS"))]
+    return f"{out_path}/{max(done)}" if done else None
+
+
 def reconcile_stream(anchors: DataFrame, memory_path: str, out_path: str, checkpoint: str) -> None:
     """Reconcile a memory with a stream of anchors (snapshot, paragraph, signature), one snapshot version per batch.
 
-    Each batch writes a whole new memory below ``out_path`` from the one
-    before; a batch that is run again writes the same folder again.
+    Each batch with anchors writes a whole new memory below ``out_path`` from
+    the newest one before it; a batch that is run again writes the same folder
+    again, and batches without anchors write nothing.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
         spark = batch.sparkSession
-        before = f"{out_path}/v{number - 1:08d}" if number else memory_path
+        before = _newest(spark, out_path, number) or memory_path
         snapshot = batch.agg(F.max("snapshot")).first()[0]
         now = facts.reconcile(read(spark, before), batch.where(F.col("snapshot") == snapshot), snapshot)
         now.select(F.to_json(F.struct(*[c.split(" ")[0] for c in FACT.split(", ")]), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{out_path}/v{number:08d}")

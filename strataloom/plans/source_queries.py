@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom import storage
-from strataloom.operators import benchmark, control_flow, cycles, evidence, idioms, portfolio, reports, runtime, slicing, spectral
+from strataloom.operators import audit, benchmark, control_flow, cycles, evidence, idioms, portfolio, reports, runtime, slicing, spectral
 from strataloom.plans import source_sql
 from strataloom.sources import calls, generated, jcl, scanner, star
 from strataloom.sources.star import table
@@ -180,6 +180,26 @@ def a15_equivalence(s: S, d: str) -> D:
     return runtime.verified(x5_equivalence(s, d))
 
 
+def _reports(s: S, d: str) -> tuple[D, D]:
+    p = _parsed(s, d)
+    return p, storage.settle(cycles.analyse(control_flow.nodes(p), control_flow.edges(p)))
+
+
+@query
+def x7_findings(s: S, d: str) -> D:
+    return audit.findings(*_reports(s, d)).select("program", "id", "kind", "severity", F.array_join("nodes", ",").alias("nodes"), "line")
+
+
+@query
+def x7_metrics(s: S, d: str) -> D:
+    return audit.metrics(*_reports(s, d)).select("program", "metric", F.round("value", 4).alias("value"))
+
+
+@query
+def a11_finding_counts(s: S, d: str) -> D:
+    return evidence.finding_counts(audit.findings(*_reports(s, d))).select(F.explode("counts").alias("kind", "n"))
+
+
 @query
 def x4_benchmark(s: S, d: str) -> D:
     """How well slices ranked by hops, by diffusion and at random foresee what mutants change."""

@@ -113,6 +113,15 @@ SQL = {
     "x5_equivalence": f"with {PROGRAMS}, {RUNS} select program, case_id, case when paid and c then 'TIMEOUT' when not paid then 'INVARIANT_VIOLATION' when a then 'PASS' else 'DIVERGED' end status from x_run",
     "a15_equivalence": f"""with {PROGRAMS}, {RUNS}, x_v as (select program, count(*) n, count(*) filter (paid and not c and a) passed from x_run group by 1)
         select program, n, passed, round(passed / n, 6) rate, case when passed = n then 'OBSERVED_VERIFIED' else 'OBSERVED_DIVERGED' end status from x_v""",
+    "x7_findings": f"""with {PROGRAMS}, {STATED} select program, 'unsupported:' || id id, 'unsupported_statement' kind, 'coverage_gap' severity, id nodes, line from x_stmt where node_type = 'unsupported_stmt'
+        union all select program, 'cycle:1', 'reported_control_flow_cycle', 'review', string_agg(id, ',' order by pos), null from x_stmt where pos in (11, 12, 13) and program in (select program from x_pgm where c) group by 1""",
+    "x7_metrics": f"""with {PROGRAMS}, {EDGES}, x_u as (select program, count(*) u from x_stmt where node_type = 'unsupported_stmt' group by 1),
+        x_n as (select program, count(*) + 4 n from x_node group by 1), x_m as (select program, count(*) m from (select program from x_edge union all select program from x_read union all select program from x_write) group by 1),
+        x_all as (select p.program, u, x_n.n, m, c::int c from x_pgm p join x_u using (program) join x_n using (program) join x_m using (program))
+        select program, unnest(['parser_coverage_ratio', 'unsupported_statement_count', 'graph_node_count', 'graph_edge_count', 'enumerated_cycle_count', 'non_trivial_scc_count', 'trapped_scc_count', 'reaches_terminal']) metric,
+        unnest([round((16 - u) / 16, 4), u, n, m, c, c, 0, 1]::double[]) "value" from x_all""",
+    "a11_finding_counts": f"""with {PROGRAMS}, {STATED} select 'unsupported_statement' kind, count(*) n from x_stmt where node_type = 'unsupported_stmt' having count(*) > 0
+        union all select 'reported_control_flow_cycle', count(*) from x_pgm where c having count(*) > 0""",
     "a10_verb_histogram": f"with {PROGRAMS} select 'DISPLAY' verb, count(*) n from x_pgm having count(*) > 0 union all select 'CALL', count(*) from x_pgm where b having count(*) > 0",
     "p16_accesses": f"""with {PROGRAMS} select program, 'DB2_TABLE' resource_type, 'ACCOUNTS' resource, 'SELECT' operation, 'READ' "mode", 21 line from x_pgm where a
         union all select program, 'DB2_TABLE', 'LEDGER', 'UPDATE', 'WRITE', 29 from x_pgm where not b""",

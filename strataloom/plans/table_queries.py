@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import shield, text
 from strataloom.operators import compare, facts
+from strataloom.sources import manifest, scanner
 from strataloom.sources.star import table
 
 S, D = SparkSession, DataFrame
@@ -85,9 +86,23 @@ def a14(s: S, d: str) -> D:
     return rows.groupBy("lang").agg(*[e.alias(n) for n, e in m.items()])
 
 
-@query("a19_digest", "select sha256(array_to_string(list_sort(list(n_nationkey || '|' || n_name || '|' || n_regionkey)), ',')) digest, count(*) n from nation")
+#: DuckDB: the two-level digest of x_rows (r).
+DIGEST = """x_h as (select sha256(r) h, count(*) n from x_rows group by 1), x_d as (select left(h, 3) b, sha256(array_to_string(list_sort(list(h || ':' || n)), ',')) d, sum(n) n from x_h group by 1),
+x_digest as (select sha256(coalesce(string_agg(d, ',' order by b), '')) digest, coalesce(sum(n), 0)::bigint n from x_d)"""
+
+
+@query("a19_digest", f"with x_rows as (select o_orderkey || '|' || o_custkey || '|' || o_orderstatus r from orders), {DIGEST} select digest, n from x_digest")
 def a19(s: S, d: str) -> D:
-    return facts.digest(table(s, d, "nation"), "n_nationkey", "n_name", "n_regionkey")
+    return facts.digest(table(s, d, "orders"), "o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("s4_manifest", f"""with x_p as (select 'P' || page_id id, page_id, coalesce(html, '') t from pages),
+x_rows as (select '{{"id":"' || id || '","kind":"JCL","path":"jcl/p' || page_id || '.jcl","sha256":"' || sha256(t) || '"}}' r from x_p), {DIGEST}
+select '1.0.0' schema_version, 0 programs, 0 copybooks, n jobs, n files, digest checksum from x_digest""")
+def s4_manifest(s: S, d: str) -> D:
+    """Pages as the files of an estate."""
+    pages = table(s, d, "pages").select(F.concat(F.lit("jcl/p"), F.col("page_id").cast("string"), F.lit(".jcl")).alias("path"), F.octet_length("html").cast("long").alias("bytes"), F.col("html").alias("text"))
+    return manifest.manifest(scanner.describe(pages))
 
 
 @query("a20_event_ids", "select event_id, sha256(event_id || '|' || user_id || '|' || event_type || '|' || coalesce(props, '')) content_id from events")

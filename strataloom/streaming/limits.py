@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,14 +20,19 @@ def admit(history: list[float], at: float, limit: int, window: float) -> tuple[b
     return (True, [*live, at]) if len(live) < limit else (False, live)
 
 
-def limit_stream(requests: DataFrame, *, limit: int, window: float = 60.0) -> DataFrame:
+def limit_stream(requests: DataFrame, *, limit: int, window: float = 60.0, delay: float = 600.0) -> DataFrame:
     """Decisions over a stream of (key, event_id, at seconds): at most ``limit`` admitted requests of a key per window.
 
     Requests of a key in one batch are taken in order of time, then id; a
-    state holds at most ``limit`` times.
+    state holds at most ``limit`` times, and goes once the watermark, ``delay``
+    seconds behind the newest request, has passed its last window.  Times are
+    seconds from the epoch on; requests from before the watermark are dropped.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         history = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         allowed = []
@@ -33,23 +40,34 @@ def limit_stream(requests: DataFrame, *, limit: int, window: float = 60.0) -> Da
             ok, history = admit(history, float(at), limit, window)
             allowed.append(ok)
         state.update((history,))
+        if history:
+            state.setTimeoutTimestamp(max(int(1000 * (history[-1] + 1 + window)), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "at": rows["at"], "allowed": allowed})
 
-    return requests.select("key", "event_id", "at").groupBy("key").applyInPandasWithState(run, DECISION, "history array<double>", "append", GroupStateTimeout.NoTimeout)
+    timed = requests.select("key", "event_id", "at", F.timestamp_seconds(F.col("at") + 1).alias("ts")).withWatermark("ts", f"{delay} seconds")
+    return timed.groupBy("key").applyInPandasWithState(run, DECISION, "history array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def limit_batch(requests: DataFrame, *, limit: int, window: float = 60.0) -> DataFrame:
-    """The same decisions over a table, as a fold in the JVM over each key's requests."""
-    rows = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "event_id"))).alias("rows"))
-    start = F.struct(F.array().cast("array<double>").alias("h"), F.array().cast("array<boolean>").alias("ok"))
+def _decide(batches: Iterator[pa.RecordBatch], limit: int, window: float) -> Iterator[pa.RecordBatch]:
+    current, live = object(), deque()
+    for batch in batches:
+        keys, times = batch.column("key").to_pylist(), batch.column("at").to_pylist()
+        allowed = []
+        for key, at in zip(keys, times, strict=True):
+            if key != current:
+                current, live = key, deque()
+            while live and live[0] <= at - window:
+                live.popleft()
+            allowed.append(len(live) < limit)
+            if allowed[-1]:
+                live.append(at)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], names=[*batch.schema.names, "allowed"])
 
-    def step(acc, x):
-        live = F.filter(acc["h"], lambda t: t > x["at"] - window)
-        ok = F.size(live) < limit
-        return F.struct(F.when(ok, F.concat(live, F.array(x["at"]))).otherwise(live).alias("h"), F.concat(acc["ok"], F.array(ok)).alias("ok"))
 
-    folded = rows.withColumn("ok", F.aggregate("rows", start, step, lambda acc: acc["ok"]))
-    return folded.select("key", F.explode(F.arrays_zip("rows", "ok")).alias("r")).select("key", "r.rows.event_id", "r.rows.at", F.col("r.ok").alias("allowed"))
+def limit_batch(requests: DataFrame, *, limit: int, window: float = 60.0) -> DataFrame:
+    """The same decisions over a table: a pass over each task's requests in order of key, time and id, holding one key's window."""
+    rows = requests.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.col("at").cast("double").alias("at"))
+    return rows.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInArrow(lambda it: _decide(it, limit, window), DECISION)
 
 
 def distinct_events(events: DataFrame, *, delay: str = "10 minutes") -> DataFrame:

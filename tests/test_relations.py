@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from strataloom import storage
 from strataloom.functions import shield, text
-from strataloom.operators import compare, coupling, facts, graph
-from strataloom.sources import scanner
+from strataloom.operators import compare, coupling, facts, graph, spectral
+from strataloom.sources import manifest, scanner
 from strataloom.streaming import limits
 
 
@@ -77,6 +77,15 @@ def test_reconciliation(spark):
     assert got == {1: (True, "SNAPSHOT_CHANGED"), 2: (False, None), 3: (True, "ANCHOR_LOST"), 4: (True, "kept")}
 
 
+def test_dense_rows(spark):
+    e = spark.createDataFrame([("a", "b", 2.0), ("b", "c", 1.5), ("a", "b", 1.0)], "src string, dst string, w double")
+    n = spark.createDataFrame([(x,) for x in "abcd"], "id string")
+    got = {r.i: r["values"] for r in spectral.dense_rows(e, n).collect()}
+    assert got == {0: [0.0, 3.0, 0.0, 0.0], 1: [0.0, 0.0, 1.5, 0.0], 2: [0.0] * 4, 3: [0.0] * 4}
+    with pytest.raises(ValueError, match="2048"):
+        spectral.dense_rows(e, spark.range(2049).selectExpr("string(id) id"))
+
+
 def test_bad_weights_stop_the_job(spark):
     with pytest.raises(Exception, match="bad weight"):
         graph.adjacency(spark.createDataFrame([(1, 2, -1.0)], "src int, dst int, w double")).collect()
@@ -112,6 +121,14 @@ def test_scan(spark, tmp_path):
     (tmp_path / "job.jcl").write_text("//J JOB\n//S EXEC PGM=A1\n//D DD DSN=F.ONE,DISP=SHR\n")
     (tmp_path / ".git" / "x.cbl").write_text("PROGRAM-ID. NO.")
     files = scanner.scan(spark, str(tmp_path)).cache()
+    manifest.write(files, str(tmp_path / "m"))
+    assert sorted((r.kind, r.id) for r in manifest.read(spark, str(tmp_path / "m")).collect()) == [("COBOL", "A1"), ("COPYBOOK", "REC"), ("JCL", "JOB")]
+    spark.createDataFrame([('{"id":"X","kind":"JCL","path":"p","sha256":"0"}',)], "value string").write.mode("append").text(str(tmp_path / "m" / "entries"))
+    with pytest.raises(ValueError, match="checksum"):
+        manifest.read(spark, str(tmp_path / "m"))
+    spark.createDataFrame([("2.0.0", "x")], "schema_version string, checksum string").write.mode("overwrite").json(str(tmp_path / "m" / "manifest"))
+    with pytest.raises(ValueError, match="version"):
+        manifest.read(spark, str(tmp_path / "m"))
     got = {r.detected_id: (r.kind, r.tables, r.datasets) for r in files.collect()}
     assert got == {"A1": ("COBOL", ["T1"], []), "REC": ("COPYBOOK", [], []), "JOB": ("JCL", [], ["F.ONE"])}
     assert [r.copybook for r in scanner.unresolved_copybooks(files).collect()] == ["GONE"]

@@ -20,6 +20,9 @@ def test_events_round_trip(spark):
     good, bad = evidence.from_lines(lines)
     assert good.exceptAll(e).isEmpty() and good.count() == 2 and bad.isEmpty()
     forged = lines.selectExpr("replace(value, 'OBSERVED', 'VERIFIED') value").union(spark.createDataFrame([("{",), ('{"x": 1}',)], "value string"))
+    assert evidence.bounded(lines).count() == 2
+    with pytest.raises(ValueError, match="at most"):
+        evidence.bounded(lines, most=1)
     reasons = sorted(r.reason for r in evidence.from_lines(forged)[1].collect())
     assert reasons == ["checksum", "fields", "not JSON"]
     with pytest.raises(Exception, match="without offset"):
@@ -67,8 +70,17 @@ def test_memory_round_trip_and_stream(spark, tmp_path):
     assert memory.counts(back).first().asDict() == {"facts": 2, "active": 2, "stale": 0} and memory.listed(back, status="VERIFIED").count() == 1
     with pytest.raises(Exception, match="verified without evidence"):
         memory.create(claims.selectExpr("'VERIFIED' status", "claim", "snapshot", "paragraph", "signature", "array() evidence_ids")).collect()
+    with pytest.raises(ValueError, match="at most"):
+        memory.write(memory.create(spark.range(memory.MAX_FACTS + 1).selectExpr("'INFERRED' status", "concat('c', id) claim", "'A' snapshot", "'P' paragraph", "'s' signature", "array() evidence_ids")), str(tmp_path / "big"))
     anchors = spark.createDataFrame([("B", "P", "move x to z")], "snapshot string, paragraph string, signature string")
     anchors.write.parquet(str(tmp_path / "a"))
     memory.reconcile_stream(spark.readStream.schema(anchors.schema).parquet(str(tmp_path / "a")), str(tmp_path / "m"), str(tmp_path / "o"), str(tmp_path / "c"))
     got = {r.claim: (r.stale, r.reason) for r in memory.read(spark, str(tmp_path / "o" / "v00000000")).collect()}
     assert got == {"c1": (False, None), "c2": (True, "SNAPSHOT_CHANGED")}
+    stream = lambda: spark.readStream.schema(anchors.schema).parquet(str(tmp_path / "a"))
+    anchors.where("false").write.mode("append").parquet(str(tmp_path / "a"))
+    memory.reconcile_stream(stream(), str(tmp_path / "m"), str(tmp_path / "o"), str(tmp_path / "c"))  # a batch without anchors
+    spark.createDataFrame([("C", "P", "gone")], anchors.schema).write.mode("append").parquet(str(tmp_path / "a"))
+    memory.reconcile_stream(stream(), str(tmp_path / "m"), str(tmp_path / "o"), str(tmp_path / "c"))
+    last = max(p.name for p in (tmp_path / "o").iterdir())
+    assert last > "v00000001" and {r.claim: r.reason for r in memory.read(spark, str(tmp_path / "o" / last)).collect()} == {"c1": "ANCHOR_LOST", "c2": "SNAPSHOT_CHANGED"}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import shield, text
-from strataloom.operators import compare, facts
+from strataloom.operators import compare, facts, neighbours
 from strataloom.sources import manifest, scanner
 from strataloom.sources.star import table
 
@@ -53,11 +53,8 @@ def _vectors(s: S, d: str) -> D:
 
 def _neighbours(s: S, d: str, k: int) -> D:
     """Top k by cosine of each query vector (ids divisible by 50) among all others."""
-    v = _vectors(s, d)
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q"), F.col("label").alias("query_label"))
-    pairs = v.join(q, F.col("vec_id") != F.col("query")).select("query", "query_label", F.col("vec_id").alias("item"), "label", F.round(compare.cosine(F.col("q"), F.col("v")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    v = _vectors(s, d).select(F.col("vec_id").alias("id"), "v")
+    return neighbours.nearest(v, v.where("id % 50 = 0"), k)
 
 
 NEAR = """with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) v from embeddings),

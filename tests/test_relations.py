@@ -2,12 +2,13 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strataloom import storage
 from strataloom.functions import shield, text
-from strataloom.operators import compare, coupling, facts, graph, spectral
+from strataloom.operators import compare, coupling, facts, graph, neighbours, spectral
 from strataloom.sources import manifest, scanner
 from strataloom.streaming import limits
 
@@ -86,6 +87,20 @@ def test_dense_rows(spark):
         spectral.dense_rows(e, spark.range(2049).selectExpr("string(id) id"))
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "VECTOR_ROWS", 7)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (40, 3)).astype(float)
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+    got = {(r.query, r["rank"]): (r.item, r.score) for r in neighbours.nearest(v, v.where("id % 5 = 0"), 4).collect()}
+    unit = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
+    for q in range(0, 40, 5):
+        order = sorted((i for i in range(40) if i != q), key=lambda i: (-round(float(unit[q] @ unit[i]), 6), i))
+        assert [got[q, k + 1][0] for k in range(4)] == order[:4]
+    assert len(got) == 32 and neighbours.nearest(v.where("false"), v, 3).isEmpty()
+
+
 def test_bad_weights_stop_the_job(spark):
     with pytest.raises(Exception, match="bad weight"):
         graph.adjacency(spark.createDataFrame([(1, 2, -1.0)], "src int, dst int, w double")).collect()

@@ -20,11 +20,12 @@ ids come first; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.batches import mix
@@ -133,11 +134,43 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return slim.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
 
 
+def _range(cuts: list[int], null_ranges: int, parts: int) -> Column:
+    """The number of a row's range, ascending with (id, hash of the text), nulls first.
+
+    An id that is a bound more than once holds several ranges' worth of rows,
+    as null may: their rows are spread over as many ranges by the hash that
+    orders them.  Bounds are looked up in two steps, among every ``step``-th
+    and then among ``step`` of them.
+    """
+    bounds = sorted(set(cuts))
+    counts = [null_ranges if null_ranges > 1 else 0] + [n if (n := cuts.count(b)) > 1 else 0 for b in bounds]
+    if not bounds and not counts[0]:
+        return F.lit(0)
+    at = F.lit(0)
+    if bounds:
+        step = max(1, math.isqrt(len(bounds)))
+        limits = F.array(*[F.lit(b).cast("long") for b in bounds])
+        coarse = F.array(*[F.lit(b).cast("long") for b in bounds[::step]])
+        k = F.size(F.filter(coarse, lambda b: b <= F.col("id")))
+        fine = F.slice(limits, F.greatest(k - 1, F.lit(0)) * step + 1, step)
+        at = F.when(F.col("id").isNull(), 0).otherwise(F.greatest(k - 1, F.lit(0)) * step + F.size(F.filter(fine, lambda b: b <= F.col("id"))))
+    if not any(counts):
+        return at.cast("int")
+    several = F.element_at(F.array(*[F.lit(c) for c in counts]), at.cast("int") + 1)
+    first = F.col("id").isNull()
+    if bounds:
+        first = first | ((at > 0) & (F.col("id") == F.element_at(limits, F.greatest(at.cast("int"), F.lit(1)))))
+    share = F.xxhash64("text").cast("double") / 2.0**64 + 0.5
+    inside = F.when(first & (several > 0), F.least(F.floor(share * several), several - 1)).otherwise(several)
+    return (at * (parts + 2) + inside).cast("int")
+
+
 def fingerprint_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, l: int = L, m: int = M) -> DataFrame:  # noqa: E741
     """Fingerprints of every text, of its edited text and of the next document, compared.
 
     Documents are cut into id ranges of about equal size (bounds from
-    ``percentile_approx``, so the driver holds one number per range); within a
+    ``percentile_approx``, so the driver holds one number per range; an id or
+    null that many rows share is cut further by the hash of the text); within a
     range rows are sorted, and the first row of each range is also sent to the
     range before it (that of the first range to the last one).
     """
@@ -145,13 +178,8 @@ def fingerprint_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = ", ".join(str(i / parts) for i in range(1, parts))
-    bounds = slim.agg(F.expr(f"percentile_approx(id, array({shares}), 100000)").alias("b")).first().b or []
-    bounds = sorted(set(bounds))
-    bucket = F.lit(0)
-    if bounds:
-        limits = F.array(*[F.lit(b).cast("long") for b in bounds])
-        bucket = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(limits, lambda b: b <= F.col("id"))))
-    ranged = slim.withColumn("bucket", bucket.cast("int"))
+    cuts = slim.agg(F.expr(f"percentile_approx(id, array({shares}), 100000)").alias("b"), F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
+    ranged = slim.withColumn("bucket", _range(cuts.b or [], -(-cuts.nulls * parts // max(1, cuts.n)), parts))
     firsts = ranged.groupBy("bucket").agg(F.min(F.struct("id", F.xxhash64("text").alias("h"))).alias("f")).orderBy("bucket").collect()  # a row per range
     if not firsts:
         return spark.createDataFrame([], f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -18,6 +18,8 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from strataloom.llm import batches, fertility, licenses, order_minhash, personal_data, queries, sentencepieces
 from tests.conftest import SMALL
 
@@ -234,6 +236,26 @@ def test_edits_and_neighbours(spark, odd, nothing):
     assert order_minhash.fingerprint_with_edits(one).first().near_next == 1.0
 
 
+def test_shared_ids_are_spread_and_keep_the_order(spark):
+    """Half of all ids are null or 7: their rows fill several ranges, and every row still meets the next one."""
+    rng = random.Random(9)
+    rows = [(None if i % 4 == 0 else 7 if i % 4 == 1 else i, f"text {rng.random()} of {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    place = order_minhash._range([3, 7, 7, 7, 90, 200, 300, 350], 4, 16)
+    ranged = docs.select(F.col("doc_id").alias("id"), "text").withColumn("bucket", place).withColumn("h", F.xxhash64("text")).collect()
+    order = sorted(ranged, key=lambda r: (r.id is not None, r.id or 0, r.h))
+    assert [r.bucket for r in order] == sorted(r.bucket for r in order)
+    assert len({r.bucket for r in order if r.id is None}) >= 4 and len({r.bucket for r in order if r.id == 7}) == 3
+    assert all(len({r.bucket for r in order if r.id == i}) == 1 for i in range(2, 400, 4))
+    got = order_minhash.fingerprint_with_edits(docs).collect()
+    hashes = {r.text: r.h for r in ranged}
+    line = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    want = Counter()
+    for (i, t), (_, nxt) in zip(line, line[1:] + line[:1], strict=True):
+        want[i, hashlib.sha256((t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
 # pieces --------------------------------------------------------------------------
 
 

@@ -15,15 +15,16 @@ FILE_ROWS = 100_000
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where that is unset
-    and no folder has been set either (tests in local mode), a folder of this
-    machine is made.
+    ``spark.checkpoint.dir`` names it on a cluster; a cluster without it is an
+    error.  In local mode a folder of this machine is made.
     """
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strataloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -53,6 +54,8 @@ class Scratch:
         if rows is not None:
             df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
         df.write.parquet(folder)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)  # what nobody clears goes with the driver
         self.folders.append(folder)
         return self.spark.read.schema(df.schema).parquet(folder)
 

@@ -265,6 +265,11 @@ def g14_portfolio_metrics(s: S, d: str) -> D:
     return portfolio.metrics(*_portfolio(s, d))
 
 
+@query
+def g14_portfolio_report(s: S, d: str) -> D:
+    return portfolio.report(*_portfolio(s, d))
+
+
 @query
 def n17_partitions(s: S, d: str) -> D:
     nodes, edges = _portfolio(s, d)

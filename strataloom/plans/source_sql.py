@@ -140,6 +140,13 @@ SQL = {
     "g14_portfolio_metrics": f"""with recursive {PORTFOLIO} select (select count(*) from x_n) nodes, (select count(*) from x_n where node_type = 'program') programs, (select count(*) from x_n where node_type = 'external_program') external_programs,
         (select count(*) from x_n where node_type = 'job') jobs, (select count(*) from x_n where node_type = 'step') steps, (select count(*) from x_n where node_type = 'dataset') datasets, (select count(*) from x_n where node_type = 'db2_table') db2_tables,
         (select count(*) from x_e) edges, count(*) total, count(*) filter (known) resolved, count(*) filter (not known) as unresolved, 0 as dynamic, case when count(*) > 0 then round(count(*) filter (known) / count(*), 4) else 1.0 end ratio from x_call""",
+    "g14_portfolio_report": f"""with recursive {PORTFOLIO}, x_c as (select distinct src, dst from x_e where edge_type = 'CALL_RESOLVED'), x_go as (select src seed, dst id from x_c union select seed, dst from x_go join x_c on src = id),
+        x_use as (select src step, dst program from x_e where edge_type = 'STEP_EXEC'),
+        x_acc as (select src program, dst resource, 2 points from x_e where starts_with(edge_type, 'PGM_') union select program, dst, 1 from x_e join x_use on src = step where edge_type in ('STEP_READ_DSN', 'STEP_WRITE_DSN')),
+        x_pts as (select a.program a, b.program b, a.points p from x_acc a join x_acc b on a.resource = b.resource and a.program < b.program union all select least(src, dst), greatest(src, dst), 1 from x_c where src <> dst)
+        select 'coupling' "section", a subject, b other, sum(p)::double "value" from x_pts group by 2, 3
+        union all select 'impact', id, null, (select count(*) from x_go where seed = x_n.id and x_go.id <> seed)::double from x_n where node_type = 'program'
+        union all select 'cycle', a.seed, min(a.id), count(*)::double from x_go a join x_go b on a.seed = b.id and a.id = b.seed group by 2""",
     "g11_call_cycles": f"""with recursive {PORTFOLIO}, x_c as (select src, dst from x_e where edge_type = 'CALL_RESOLVED'), x_r as (select src seed, dst id from x_c union select seed, dst from x_r join x_c on src = id)
         select id, scc, count(*) over (partition by scc) size from (select a.seed id, min(a.id) scc from x_r a join x_r b on a.seed = b.id and a.id = b.seed group by 1)""",
     "s2_classify": f"""with recursive {PORTFOLIO} select 'cbl/' || program || '.cbl' path, 'COBOL' kind, program detected_id from x_pgm union all select 'cpy/REC' || r || '.cpy', 'COPYBOOK', 'REC' || r from range(5) t(r)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import shield, text
-from strataloom.operators import compare, facts, neighbours
+from strataloom.operators import compare, facts, neighbours, observer
 from strataloom.sources import manifest, scanner
 from strataloom.sources.star import table
 
@@ -285,6 +285,24 @@ def x9(s: S, d: str) -> D:
     return facts.reconcile(f, anchors, "S1").select("fact_id", "status", "snapshot", "stale", "reason")
 
 
+@query("x11_answers", """with a as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 k, text from conversations),
+x as (select conv_id packet_id, k at, 'h' || turn hypothesis_id, text claim, turn % 3 = 0 downgraded, unnest([{'n': 0, 'c': 'e' || (turn % 5)}, {'n': 1, 'c': 'e' || (conv_id % 4)}]) p from a)
+select packet_id, hypothesis_id, 'INFERRED' status, sha256(coalesce(claim, '')) claim_sha256, coalesce(string_agg(p.c, ',' order by p.n) filter (p.c <> 'e0' and p.c <> 'e4'), '') cited, downgraded, count(*) filter (p.c = 'e0' or p.c = 'e4') stripped
+from x group by packet_id, at, hypothesis_id, claim, downgraded""".replace(" at,", " pos,").replace(", at", ", pos"))
+def x11(s: S, d: str) -> D:
+    """Conversations as answers in code fences, each citing two pieces of evidence of which three are known."""
+    c = table(s, d, "conversations")
+    cites = F.array(*[F.concat(F.lit("e"), k.cast("string")) for k in (F.col("turn") % 5, F.col("conv_id") % 4)])
+    status = F.when(F.col("turn") % 3 == 0, "VERIFIED").otherwise("OBSERVED")
+    h = F.struct(F.concat(F.lit("h"), F.col("turn").cast("string")).alias("hypothesis_id"), status.alias("status"), F.col("text").alias("claim"), cites.alias("cited_evidence_ids"))
+    listed = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", h.alias("h")))).alias("hs"))
+    body = F.to_json(F.struct(F.transform("hs", lambda x: x["h"]).alias("hypotheses")))
+    raw = listed.select(F.col("conv_id").alias("packet_id"), F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("answer"))
+    known = raw.select("packet_id", F.explode(F.array(*[F.lit(f"e{k}") for k in (1, 2, 3)])).alias("evidence_id"))
+    out = observer.gated(observer.answers(raw), known)
+    return out.select("packet_id", "hypothesis_id", "status", F.sha2(F.col("claim").cast("binary"), 256).alias("claim_sha256"), F.array_join("cited", ",").alias("cited"), "downgraded", "stripped")
+
+
 RULES = [("/fr", "ADMIN"), ("/de", "OPERATOR"), ("/e", "ANALYST")]
 
 

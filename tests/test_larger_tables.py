@@ -2,10 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strataloom import storage
 from strataloom.operators import graph
 from strataloom.plans import catalog
+from strataloom.sources import jcl
 from tests.conftest import SMALL
 
 KEYS = {"supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"]}
@@ -61,3 +63,13 @@ def test_pairs_of_a_search_are_made_when_they_are_read(spark, monkeypatch):
     pairs = graph.reach(spark.range(100).selectExpr("id as src", "(id + 1) % 100 as dst"), spark.range(3), max_hops=2)
     assert ("seed", "id", "hop") not in written
     assert sorted(map(tuple, pairs.collect())) == sorted((s, s + h, h) for s in range(3) for h in range(3))
+
+
+def test_call_circles_parse_no_jobs(spark, monkeypatch):
+    def parsed(jobs):
+        bad = jobs.withColumn("text", F.raise_error(F.concat(F.lit("a job was parsed: "), "job_file")).cast("string"))
+        return real(bad)
+
+    real = jcl.parsed
+    monkeypatch.setattr(jcl, "parsed", parsed)
+    assert sorted(map(tuple, catalog.QUERIES["g11_call_cycles"](spark, SMALL).collect())) == wanted(SMALL, "g11_call_cycles", ["id", "scc", "size"])

@@ -98,3 +98,13 @@ def test_coupling_counts_pairs_where_their_blocks_are(spark):
     far = a.selectExpr("program * 31 as program", "resource", "kind")  # 150 programs among 4650 numbers
     more = far.union(spark.range(4_650).selectExpr("id", "concat('own', id)", "'job'"))
     assert {(r.a, r.b): r.datasets for r in coupling.pair_counts(more).where("datasets > 0").collect()} == {(x * 31, y * 31): v[1] for (x, y), v in want.items() if v[1]}
+
+
+def test_anchors_of_few_words_and_repeated_rows_are_found_as_by_sql(spark, tmp_path):
+    c = duckdb.connect()
+    c.sql("create table documents as select * from (values (1, 'one two three four five six seven eight nine ten'), (1, 'nine  ten'), (2, 'xone two'), (3, ''), (4, null), (5, 'ten')) t(doc_id, text)")
+    c.sql("create table benchmark as select * from (values (1, 'two three'), (2, 'ten'), (3, 'two three four five six seven eight nine never'), (4, ''), (5, null), (6, 'one two'), (7, 'two three')) t(item_id, text)")
+    for t in ("documents", "benchmark"):
+        c.sql(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    got = sorted(map(tuple, catalog.QUERIES["j12_anchor_remap"](spark, str(tmp_path)).collect()))
+    assert got == sorted(c.sql(catalog.ORACLES["j12_anchor_remap"]).fetchall()) and len(got) > 6

@@ -11,7 +11,9 @@ six are ASCII, so cutting UTF-8 at them never splits a character.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,9 @@ CHUNK_BYTES = 1 << 18
 #: This process's C library; some have no malloc_trim.
 _LIBC = ctypes.CDLL(None)
 
+#: What an operator keeps in this worker between its tasks; it goes when another operator's texts come.
+RESIDENT: dict[Any, Any] = {}
+
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -62,8 +67,12 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw, offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str | int = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with about ``limit`` bytes of text each (one row at least)."""
+def chunks(batch: pa.RecordBatch, text: str | int = "text", limit: int = CHUNK_BYTES, *, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``limit`` bytes of text each (one row at least); ``RESIDENT`` goes first, unless it is the caller's to ``keep``."""
+    if RESIDENT and not keep:
+        RESIDENT.clear()
+        gc.collect()
+        give_back()
     n = batch.num_rows
     if n == 0:
         return

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.batches import chunks
+from strataloom.llm.batches import RESIDENT, chunks
 
 MARK = "▁"
 #: Fragments of one cache generation; two are kept per Python worker.
@@ -255,16 +255,13 @@ def _slices(text: str, size: int = LONG) -> Iterator[str]:
         at = to
 
 
-_LOADED: dict[bytes, FragmentCoder] = {}
-
-
 def coder(model: bytes) -> FragmentCoder:
     """This worker's coder for a model, kept between tasks."""
     key = hashlib.sha256(model).digest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = FragmentCoder(PieceModel(model))
-    return _LOADED[key]
+    if key not in RESIDENT:
+        RESIDENT.clear()
+        RESIDENT[key] = FragmentCoder(PieceModel(model))
+    return RESIDENT[key]
 
 
 def read_model(path: str) -> bytes:
@@ -290,7 +287,7 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = coder(model.value)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, keep=True):
                 rows: dict[str, list[Any]] = {k: [] for k in ("n", "ids", "dec", "list", "text")}
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 coded = [one.encode(t) for t in texts]

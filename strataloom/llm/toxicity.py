@@ -181,7 +181,7 @@ def _fit(docs: DataFrame, clean: DataFrame, scratch: Scratch, max_rows: int, n_f
 
 
 #: N-grams of one task that are counted before they go on.
-_HELD = 2_000_000
+_HELD = 700_000
 
 
 def _count(batches: Iterator[pa.RecordBatch], orders: tuple[int, ...]) -> Iterator[pa.RecordBatch]:

@@ -77,3 +77,31 @@ def test_windows_that_are_not_sent_score_alike(spark):
     assert len(one) == len(two) == len(three) > 0
     for a, b, c in zip(one, two, three, strict=True):
         assert a[0] == b[0] == c[0] and math.isclose(a[1], b[1], rel_tol=1e-9) and math.isclose(a[1], c[1], rel_tol=1e-9)
+
+
+def test_a_worker_frees_the_fragment_memory_when_another_operator_runs():
+    import pyarrow as pa
+
+    from strataloom.llm import batches, sentencepieces, toxicity
+    from strataloom.llm.queries import tokenizer_path
+
+    batch = pa.RecordBatch.from_pydict({"toxic": pa.array([0, 1], pa.int32()), "text": ["some words", "other words"]})
+    model = sentencepieces.read_model(tokenizer_path())
+    one = sentencepieces.coder(model)
+    assert list(batches.chunks(batch, keep=True)) and sentencepieces.coder(model) is one
+    assert list(toxicity._count(iter([batch]), toxicity.ORDERS))
+    assert sentencepieces.coder(model) is not one
+
+
+def test_counting_ngrams_holds_a_bounded_number_of_them(monkeypatch):
+    import pyarrow as pa
+
+    from strataloom.llm import toxicity
+
+    held, real = [], toxicity._summed
+    monkeypatch.setattr(toxicity, "_summed", lambda parts: held.append(sum(len(k) for k, _ in parts)) or real(parts))
+    draw = random.Random(1)
+    texts = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=250_000)) for _ in range(4)]
+    batch = pa.RecordBatch.from_pydict({"toxic": pa.array([0, 1, 0, 1], pa.int32()), "text": texts})
+    counted = pa.Table.from_batches(toxicity._count(iter([batch] * 12), toxicity.ORDERS))
+    assert max(held) < 1_500_000 and counted.num_rows

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom import storage
-from strataloom.operators import coupling, graph
+from strataloom.operators import coupling, graph, portfolio
 from strataloom.plans import catalog
 from strataloom.sources import jcl
 from tests.conftest import SMALL
@@ -108,3 +108,62 @@ def test_anchors_of_few_words_and_repeated_rows_are_found_as_by_sql(spark, tmp_p
         c.sql(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
     got = sorted(map(tuple, catalog.QUERIES["j12_anchor_remap"](spark, str(tmp_path)).collect()))
     assert got == sorted(c.sql(catalog.ORACLES["j12_anchor_remap"]).fetchall()) and len(got) > 6
+
+
+ODD_JOBS = {
+    "a.jcl": "//A JOB 1\n//S1 EXEC PGM=P1\n//D1 DD DSN=X,DISP=SHR\n//S1 EXEC PGM=P2\n//D2 DD DSN=Y,DISP=OLD\n//NONE EXEC PROCX\n//D3 DD DSN=Z,DISP=(NEW,\n// CATLG)",
+    "b.jcl": "//D0 DD DSN=LOST\n//S9 EXEC PGM=P2\n//B JOB 1\n//A JOB 1\n//S1 EXEC PGM=P1X\n//D DD SYSOUT=*\n//D DD DSN=W",
+    "c.jcl": "//C.D JOB 1\n//S EXEC PGM=P1\n//X DD DSN='Q',DISP=SHR\n//C JOB 1\n//D.S EXEC PGM=P3\n//T EXEC PGM=P1X\n//U EXEC PGM=P1",
+    "e.jcl": "//E JOB 1\n//S1 EXEC PGM=P1\n//D DD DSN=X,DISP=SHR\n//S2 EXEC PGM=P1X\n//* remark\n//D DD DSN=X,DISP=MOD",
+    "f.jcl": "",
+}
+
+
+@pytest.fixture(scope="module")
+def odd_portfolio(spark):
+    """Jobs whose steps share ids with other steps, and one whose steps don't; P1X resolves to P1."""
+    sources = spark.createDataFrame([("P1", "EXEC SQL UPDATE T1 SET A = 1 END-EXEC.\nCALL 'P3'."), ("P2", "CALL 'P1'."), ("P4", "CALL 'NOWHERE'.")], "program string, source string")
+    jobs = spark.createDataFrame([*ODD_JOBS.items(), ("g.jcl", None), ("a.jcl", ODD_JOBS["a.jcl"])], "job_file string, text string")
+    return portfolio.Parsed(sources, jobs)
+
+
+def test_each_job_is_parsed_once(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(storage.Scratch, "settle", lambda self, df, rows=None, real=storage.Scratch.settle: read.append(df.columns) or real(self, df, rows))
+    for name in ("a5_type_counts", "g14_portfolio_metrics", "j9_resource_map", "g12_portfolio"):
+        read.clear()
+        plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert read.count(["job_file", "job", "steps"]) == 1 and "job_file#" not in "".join(x for x in plan.splitlines() if "MapInArrow" in x)
+
+
+def test_steps_that_share_their_ids_count_as_by_joins_of_edges(spark, odd_portfolio):
+    p = odd_portfolio
+    nodes, edges = portfolio.graph_of(p)
+    assert {r.job for r in p.alone.collect()} == {"E", "ANONJOB", "B"} and {r.job for r in p.shared.collect()} == {"A", "C", "C.D"}
+    assert sorted(map(tuple, portfolio.uses(p).collect())) == sorted(map(tuple, portfolio.accesses(edges).collect()))
+    assert sorted(map(tuple, portfolio.uses(p, jobs=False).collect())) == sorted(map(tuple, portfolio.accesses(edges).where("kind <> 'job'").collect()))
+    ids = [r.id for r in nodes.collect()]
+    assert len(ids) == len(set(ids)) and set(ids) >= {x for r in edges.collect() for x in (r.src, r.dst)}
+    counts = {(r.what, r.type): r.n for r in portfolio.type_counts(nodes, edges).collect()}
+    assert counts["node", "job"] == 6 and counts["node", "step"] == 8 and counts["edge", "JOB_STEP"] == 14
+
+
+def test_grouped_jobs_hold_what_their_cards_say(spark, odd_portfolio):
+    rows = jcl.parsed(spark.createDataFrame([*ODD_JOBS.items(), ("a.jcl", ODD_JOBS["a.jcl"])], "job_file string, text string")).where("step is not null")
+    p = odd_portfolio
+    steps = sorted((r.job_file, r.job, r.step_seq + 1, r.step, r.program or "") for r in p.all_steps().collect())
+    assert steps == sorted((r.job_file, r.job, r.step_seq, r.step, r.program or "") for r in rows.where("dd is null").collect())
+    uses = sorted((r.job, r.step, *r.u) for r in p.all_steps().select("job", "step", F.explode("uses").alias("u")).collect())
+    assert uses == sorted((r.job, r.step, r.dd, r.dsn, r.intent) for r in rows.where("dsn is not null").collect())
+
+
+def test_portfolio_queries_equal_sql_where_job_names_are_shared(spark, tmp_path):
+    """Keys of eight signs, of which a job's name holds seven."""
+    sf = repeated(tmp_path, 2, 10_000_000)
+    for name in ("a5_type_counts", "j9_resource_map", "g14_portfolio_metrics"):
+        same(spark, sf, name)
+
+
+def test_a_dossier_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(coupling, "pair_counts", None)
+    assert catalog.QUERIES["x16_dossier"](spark, SMALL).count()

@@ -55,17 +55,16 @@ def radar(base: DataFrame, now: DataFrame) -> DataFrame:
     return rows.select("program", "distance", "noise_floor", "fiedler_delta", "coverage_delta", "cycle_delta", F.array_join(kinds, ",").alias("candidates"), priority.alias("priority"))
 
 
-def dossier(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def dossier(nodes: DataFrame, edges: DataFrame, access: DataFrame | None = None) -> DataFrame:
     """Per program of a portfolio: barriers, blast radius, separability index, risk and migration wave.
 
     If the first or the last wave is empty, the programs of least blast (most,
     for the last) of the second move there.
     """
     programs = nodes.where("node_type = 'program'").select("id")
-    access = portfolio.accesses(edges)
+    access = portfolio.accesses(edges) if access is None else access
     calls = edges.where(F.col("edge_type").isin(*portfolio.CALLS)).select("src", "dst")
-    pairs = coupling.friction(access, calls)
-    per = pairs.select(F.explode(F.array("a", "b")).alias("id"), "barrier").groupBy("id").agg(F.count_if("barrier").alias("barriers"), F.count("*").alias("partners"))
+    per = coupling.pair_sums(access, calls).select("id", (F.col("barred_after") + F.col("barred_before")).alias("barriers"), (F.col("after") + F.col("before")).alias("partners"))
     blast = graph.reach_counts(graph.reverse(calls), programs).withColumnRenamed("n", "blast")
     rows = programs.join(per, "id", "left").join(blast, "id", "left").fillna(0, ["barriers", "partners", "blast"])
     share = F.when(F.col("partners") > 0, F.col("barriers") / F.col("partners")).otherwise(0.0)

@@ -167,3 +167,25 @@ def test_portfolio_queries_equal_sql_where_job_names_are_shared(spark, tmp_path)
 def test_a_dossier_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(coupling, "pair_counts", None)
     assert catalog.QUERIES["x16_dossier"](spark, SMALL).count()
+
+
+def test_pairs_of_programs_that_use_the_same_are_counted_by_class(spark, monkeypatch):
+    """Six classes of programs, dealt over lists of seven; calls inside a list, across lists and classes, both ways, and without resources."""
+    uses = [(f"PGM:P{p:02}", r, r.split(":")[0]) for p in range(90) for r in (f"dataset:{p % 3}", f"table:{p % 2}") if p % 3 or p % 2]
+    uses += [(p, f"job:{p}", "job") for p, _, _ in uses]
+    calls = [(f"PGM:P{a:02}", f"PGM:P{b:02}") for a, b in ((1, 7), (7, 1), (1, 8), (88, 4), (0, 6), (5, 0), (3, 3), (89, 83), (2, 1), (4, 3), (10, 70))]
+    access = spark.createDataFrame(uses + uses[:50], "program string, resource string, kind string")
+    edges = spark.createDataFrame([(a, b, "CALL_RESOLVED", "OBSERVED") for a, b in calls], "src string, dst string, edge_type string, status string")
+    known = sorted((r.a, r.b, float(r.score)) for r in coupling.coupling(access, edges.select("src", "dst")).collect())
+    counted = []
+    monkeypatch.setattr(coupling, "pair_counts", lambda a, c=None, real=coupling.pair_counts: counted.append(a.select("program").distinct().count()) or real(a, c))
+    monkeypatch.setattr(coupling, "CLASS_LIST", 7, raising=False)
+    nodes = spark.createDataFrame([(f"PGM:P{p:02}", "program") for p in range(90)], "id string, node_type string")
+    got = portfolio.report(nodes, edges, access).where("section = 'coupling'").collect()
+    assert sorted((r.subject, r.other, r.value) for r in got) == known
+    assert counted == [5]
+
+
+def test_a_report_reads_no_nodes_of_jobs(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(portfolio, "graph_of", None)
+    same(spark, repeated(tmp_path, 3, 1_000), "g14_portfolio_report")

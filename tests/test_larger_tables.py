@@ -1,12 +1,13 @@
 """Queries on tables like the larger ones: repeated rows, shifted keys, names that several rows share."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strataloom import storage
-from strataloom.operators import coupling, graph, portfolio
-from strataloom.plans import catalog
+from strataloom.operators import coupling, graph, portfolio, spectral
+from strataloom.plans import catalog, source_queries
 from strataloom.sources import jcl
 from tests.conftest import SMALL
 
@@ -189,3 +190,73 @@ def test_pairs_of_programs_that_use_the_same_are_counted_by_class(spark, monkeyp
 def test_a_report_reads_no_nodes_of_jobs(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(portfolio, "graph_of", None)
     same(spark, repeated(tmp_path, 3, 1_000), "g14_portfolio_report")
+
+
+def jobs_of(n_jobs: int, programs: int, most: int = 7):
+    """(n, i, j, w, inner) of jobs whose steps follow each other and run programs, which have a dataset each in two ways."""
+    r = np.random.default_rng(1)
+    m = r.integers(1, most + 1, n_jobs)
+    job = np.repeat(np.arange(n_jobs), m)
+    outer = programs + 12
+    steps = outer + n_jobs + np.arange(len(job))
+    k = r.integers(0, programs, len(job))
+    follows = np.flatnonzero(job[1:] == job[:-1])
+    i = np.concatenate((outer + job, steps[follows], k, programs + k % 7, programs + 7 + k % 5))
+    j = np.concatenate((steps, steps[follows + 1], steps, steps, steps))
+    n = outer + n_jobs + len(job)
+    return n, i, j, np.ones(len(i)), np.arange(n) >= outer
+
+
+def laplacian(n, i, j, w):
+    matrix = np.zeros((n, n))
+    np.add.at(matrix, (i, j), -w / 2)
+    np.add.at(matrix, (j, i), -w / 2)
+    return matrix - np.diag(matrix.sum(axis=1))
+
+
+@pytest.mark.parametrize("odd", ["plain", "weights", "a long job", "two parts"])
+def test_jobs_and_steps_are_solved_for_exactly(odd):
+    n, i, j, w, inner = jobs_of(60, 25, 100) if odd == "a long job" else jobs_of(700, 25)
+    if odd == "weights":
+        w = np.random.default_rng(2).integers(1, 4, len(i)).astype(float)
+    if odd == "two parts":  # a program and its job by themselves
+        i, j, w, inner, n = np.append(i, n), np.append(j, n + 1), np.append(w, 1.0), np.append(inner, [False, True]), n + 2
+    got = spectral.large_fiedler_vector(n, i, j, w, inner)
+    here = np.arange(n) < n - 2 if odd == "two parts" else np.ones(n, dtype=bool)
+    assert here.sum() > spectral.DENSE and (got[~here] == -2).all()
+    matrix = laplacian(n, i, j, w)[np.ix_(here, here)]
+    want = np.linalg.eigh(matrix)[1][:, 1]
+    assert min(np.abs(got[here] - want).max(), np.abs(got[here] + want).max()) < 1e-6
+
+
+def test_equal_jobs_of_one_program_have_no_vector_on_outer_nodes():
+    """Their second vector lies on the jobs alone; the plain iteration finds it."""
+    i, j = np.array([1, 2]), np.array([2, 9])
+    i, j = (np.concatenate([np.where(x == 9, 3000 + np.arange(1500) % 9, x + 2 * np.arange(1500) - 1) for x in part]) for part in (i, j))
+    i, j = np.append(i, 3000 + np.arange(8)), np.append(j, 3001 + np.arange(8))
+    n, w, inner = 3009, np.ones(3008), np.arange(3009) < 3000
+    got = spectral.large_fiedler_vector(n, i, j, w, inner)
+    matrix = laplacian(n, i, j, w)
+    assert abs(got @ matrix @ got / (got @ got) - np.linalg.eigvalsh(matrix)[1]) < 1e-6
+
+
+def test_a_large_portfolio_is_numbered_and_solved_like_a_small_one(spark):
+    parsed = source_queries._portfolio(spark, SMALL)
+    nodes, edges = map(storage.settle, portfolio.graph_of(parsed))
+    ids = {r.id: r.score for r in portfolio._large_fiedler(nodes, edges).collect()}
+    names = sorted(r.id for r in nodes.collect())
+    at = {x: k for k, x in enumerate(names)}
+    assert set(ids) == set(names) and len(names) > spectral.DENSE
+    x = np.array([ids[v] for v in names])
+    e = np.array([(at[r.src], at[r.dst]) for r in edges.collect()])
+    y = np.zeros(len(names))
+    for a, b in (e.T, e.T[::-1]):
+        y += np.bincount(a, (x[a] - x[b]) / 2, len(names))
+    value = x @ y / (x @ x)
+    assert abs(x.sum()) < 1e-5 and abs(x @ x - 1) < 1e-8 and np.linalg.norm(y - value * x) < 1e-5
+    plain = {r.id: r.score for r in portfolio.fiedler(nodes, edges).collect()}
+    old = np.array([plain[v] for v in names])
+    z = np.zeros(len(names))
+    for a, b in (e.T, e.T[::-1]):
+        z += np.bincount(a, (old[a] - old[b]) / 2, len(names))
+    assert value <= old @ z / (old @ old) + 1e-6

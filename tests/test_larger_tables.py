@@ -260,3 +260,18 @@ def test_a_large_portfolio_is_numbered_and_solved_like_a_small_one(spark):
     for a, b in (e.T, e.T[::-1]):
         z += np.bincount(a, (old[a] - old[b]) / 2, len(names))
     assert value <= old @ z / (old @ old) + 1e-6
+
+
+def test_cuts_by_number_are_cuts_by_name(spark, monkeypatch):
+    """Two groups of jobs that one step joins; the sweep of a large portfolio gets numbers."""
+    parts = [(f"STEP:J{g}{k:02}.S1", f"{kind}:{kind}{g}{k % of}") for g in "AB" for k in range(30) for kind, of in (("PGM", 4), ("DSN", 3))]
+    parts += [(f"JOB:J{g}{k:02}", f"STEP:J{g}{k:02}.S1") for g in "AB" for k in range(30)] + [("STEP:JA00.S1", "DSN:DSNB1")]
+    edges = spark.createDataFrame([(a, b, "STEP_EXEC" if b[:3] == "PGM" else "STEP_READ_DSN" if b[:3] == "DSN" else "JOB_STEP", 1.0) for a, b in parts], "src string, dst string, edge_type string, w double")
+    nodes = spark.createDataFrame([(x, "program" if x[:3] == "PGM" else "other") for x in sorted({x for e in parts for x in e})], "id string, node_type string")
+    plain = portfolio.partitions(nodes, edges, 1).collect()
+    swept = []
+    monkeypatch.setattr(portfolio, "LARGE", 0, raising=False)
+    monkeypatch.setattr(graph, "sweep", lambda e, s, real=graph.sweep: swept.append(s.schema["id"].dataType.simpleString()) or real(e, s))
+    got = portfolio.partitions(nodes, edges, 1).collect()
+    assert got == plain and plain[0].crossing == 1 and {plain[0].programs_a, plain[0].programs_b} == {4}
+    assert swept == ["bigint"]
